@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from stayline.fields import PROBABILITY_COLUMNS
 
-# Spellings that are numbers; "1.0d", "nan" and "inf" are not, though a cast takes them.
-NUMBER_PATTERN = r"(?U)^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-DIGIT_SEPARATOR = r"(?<=\d)_(?=\d)"
+# White space around a number and underscores between digits are allowed ...
+IGNORED_PATTERN = r"(?U)^\s+|\s+$|(?<=\d)_(?=\d)"
+# ... other letters and signs are not, though a cast takes "1.0d", "0x1p3", "nan" and "inf".
+FOREIGN_PATTERN = r"[^0-9eE+\-.]"
 
 
 def finite(value: Column) -> Column:
@@ -20,9 +21,9 @@ def finite(value: Column) -> Column:
 
 def number_from_text(text: Column) -> Column:
     """The number spelled in `text`, null when it does not spell a finite one."""
-    digits = F.regexp_replace(text, DIGIT_SEPARATOR, "")
-    spelled = F.when(digits.rlike(NUMBER_PATTERN), F.regexp_replace(digits, r"(?U)\s", ""))
-    return finite(spelled.try_cast("double"))
+    plain = F.regexp_replace(text, IGNORED_PATTERN, "")
+    number = F.when(~plain.rlike(FOREIGN_PATTERN), plain.try_cast("double"))
+    return F.when(F.abs(number) != F.lit(float("inf")), number)
 
 
 def zero_if_missing(value: Column) -> Column:

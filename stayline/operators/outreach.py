@@ -71,7 +71,8 @@ def payload(
         F.struct("id", "email", "name", target_metadata(recipients).alias("metadata")).alias("recipient"),
     )
     reachable = F.collect_list(F.when(~F.col("skipped"), entry))
-    listed = F.transform(F.array_sort(F.col("entries")), lambda e: e["recipient"])
+    in_order = F.array_sort(F.col("entries"), lambda a, b: (a[order] - b[order]).cast("int"))
+    listed = F.transform(in_order, lambda e: e["recipient"])
     prompts = batch_prompt(recipients, sender, company, template, order)
     return (
         recipients.agg(reachable.alias("entries"))

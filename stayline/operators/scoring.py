@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from stayline.fields import LABEL_THRESHOLD
 from stayline.functions.decisions import add_decisions
 from stayline.operators.selection import candidate_rules, email_candidates
-from stayline.operators.validation import error_rows, summary, valid_rows, with_problems, with_status
+from stayline.operators.validation import checked, error_rows, summary, valid_rows, with_status
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -75,14 +75,14 @@ def score_batch(records: DataFrame, score: Scorer, options: Mapping | None = Non
     """The four tables of a batch run. Nothing runs until one of them is used."""
     options = options or {}
     mode = options.get("mode", "fail_fast")
-    checked = with_problems(records)
+    rows = checked(records)
     carried = ["email"] if "email" in records.columns else []
-    results = result_columns(decide(valid_rows(checked, mode), score), *carried)
+    results = result_columns(decide(valid_rows(rows, mode), score), *carried)
     return BatchOutput(
         results=results,
         candidates=email_candidates(results, candidate_rules(options)),
-        errors=error_rows(checked, mode),
-        summary=with_status(summary(checked, mode)),
+        errors=error_rows(rows, mode),
+        summary=with_status(summary(rows, mode)),
     )
 
 

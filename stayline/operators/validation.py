@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +20,20 @@ def check_mode(mode: str) -> str:
     return mode
 
 
+def _parsed(name: str) -> str:
+    return f"_number_{name}"
+
+
+def _is_missing(df: DataFrame, name: str) -> Column:
+    if name not in df.columns:
+        return F.lit(True)
+    return F.col(name).isNull() | (F.col(name).cast("string") == "")
+
+
+def _is_wrong(name: str) -> Column:
+    return F.col(_parsed(name)).isNull()
+
+
 def _found(problems: Sequence[Column]) -> Column:
     return F.array_compact(F.array(*problems))
 
@@ -28,25 +44,27 @@ def _problem(field: str, message: Column) -> Column:
 
 def missing_problems(df: DataFrame) -> Column:
     """One entry per required field that is absent, null or empty."""
-    problems = []
-    for name in REQUIRED_FIELDS:
-        entry = _problem(name, F.lit(f"Missing required field: {name}"))
-        if name in df.columns:
-            entry = F.when(F.col(name).isNull() | (F.col(name).cast("string") == ""), entry)
-        problems.append(entry)
-    return _found(problems)
+    return _found(
+        [
+            F.when(_is_missing(df, name), _problem(name, F.lit(f"Missing required field: {name}")))
+            for name in REQUIRED_FIELDS
+        ]
+    )
 
 
 def numeric_problems(df: DataFrame) -> Column:
     """One entry per numeric field that does not spell a finite number."""
-    problems = []
+    entries = []
     for name in NUMERIC_FEATURES:
-        if name not in df.columns:
-            continue
-        raw = F.col(name).cast("string")
-        message = F.concat(F.lit(f"Field '{name}' must be a number (got "), python_quoted(raw), F.lit(")"))
-        problems.append(F.when(number_from_text(raw).isNull(), _problem(name, message)))
-    return _found(problems)
+        if name in df.columns:
+            shown = python_quoted(F.col(name).cast("string"))
+            message = F.concat(F.lit(f"Field '{name}' must be a number (got "), shown, F.lit(")"))
+            entries.append(F.when(_is_wrong(name), _problem(name, message)))
+    return _found(entries)
+
+
+def _how_many(conditions: Sequence[Column]) -> Column:
+    return reduce(add, [c.cast("int") for c in conditions])
 
 
 def record_id(df: DataFrame) -> Column:
@@ -62,59 +80,73 @@ def outreach_id(df: DataFrame, position: str = "row_index") -> Column:
     return F.coalesce(*given, F.concat(F.lit("idx-"), F.col(position).cast("string")))
 
 
-def with_problems(records: DataFrame) -> DataFrame:
-    """Add `id` and `problems`; casts are judged only where nothing is missing."""
-    missing = missing_problems(records)
-    return records.withColumns(
+def checked(records: DataFrame) -> DataFrame:
+    """Add `id`, the parsed numbers, `bad` and `n_problems`.
+
+    Casts are judged only where nothing is missing. Whether a row is bad needs
+    no messages, so rows can be told apart before any text is put together.
+    """
+    parsed = records.withColumns(
         {
             "id": record_id(records),
-            "problems": F.when(F.size(missing) > 0, missing).otherwise(numeric_problems(records)),
+            **{
+                _parsed(n): number_from_text(F.col(n).cast("string")) if n in records.columns else F.lit(None).cast("double")
+                for n in NUMERIC_FEATURES
+            },
+        }
+    )
+    wrong = [_is_wrong(n) for n in NUMERIC_FEATURES]
+    n_missing = _how_many([_is_missing(records, n) for n in REQUIRED_FIELDS])
+    texts = [_is_missing(records, n) for n in REQUIRED_FIELDS if n not in NUMERIC_FEATURES]
+    return parsed.withColumns(
+        {
+            "bad": reduce(or_, [*texts, *wrong]),
+            "n_problems": F.when(n_missing > 0, n_missing).otherwise(_how_many(wrong)),
         }
     )
 
 
-def is_bad() -> Column:
-    return F.size("problems") > 0
-
-
-def first_bad_row(checked: DataFrame) -> Column:
+def first_bad_row(rows: DataFrame) -> Column:
     """Position of the first bad row as a scalar subquery, null when all are fine."""
-    return checked.filter(is_bad()).agg(F.min("row_index").alias("first_bad")).scalar()
+    return rows.filter("bad").agg(F.min("row_index").alias("first_bad")).scalar()
 
 
-def error_rows(checked: DataFrame, mode: str = "partial") -> DataFrame:
-    """One row per problem; fail_fast stops at the first bad row."""
-    wanted = checked.filter(is_bad())
+def error_rows(rows: DataFrame, mode: str = "partial") -> DataFrame:
+    """One row per problem of checked rows; fail_fast stops at the first bad row."""
+    wanted = rows.filter("bad")
     if check_mode(mode) == "fail_fast":
-        wanted = wanted.filter(F.col("row_index") == first_bad_row(checked))
-    return wanted.select("row_index", "id", F.posexplode("problems").alias("error_no", "problem")).select(
+        wanted = wanted.filter(F.col("row_index") == first_bad_row(rows))
+    missing = wanted.withColumn("missing", missing_problems(rows))
+    problems = F.when(F.size("missing") > 0, F.col("missing")).otherwise(numeric_problems(rows))
+    return missing.select("row_index", "id", F.posexplode(problems).alias("error_no", "problem")).select(
         "row_index", "id", "error_no", "problem.field", "problem.message"
     )
 
 
-def valid_rows(checked: DataFrame, mode: str = "partial") -> DataFrame:
-    """Rows without problems, numbers cast; fail_fast gives none when any row is bad."""
-    good = checked.filter(~is_bad())
+def valid_rows(rows: DataFrame, mode: str = "partial") -> DataFrame:
+    """Checked rows without problems, numbers cast; fail_fast gives none when any row is bad."""
+    good = rows.filter(~F.col("bad"))
     if check_mode(mode) == "fail_fast":
-        good = good.filter(first_bad_row(checked).isNull())
-    return good.withColumns({n: number_from_text(F.col(n).cast("string")) for n in NUMERIC_FEATURES}).drop("problems")
+        good = good.filter(first_bad_row(rows).isNull())
+    numbers = [_parsed(n) for n in NUMERIC_FEATURES]
+    return good.withColumns({n: F.col(_parsed(n)) for n in NUMERIC_FEATURES}).drop(*numbers, "bad", "n_problems")
 
 
-def summary(checked: DataFrame, mode: str = "partial") -> DataFrame:
+def summary(rows: DataFrame, mode: str = "partial") -> DataFrame:
     """Counts of total, valid and invalid records and of errors, as one row.
 
     fail_fast looks no further than the first bad row: rows before it are
     valid, it alone is invalid.
     """
-    bad, seen = is_bad(), F.lit(True)
+    bad, seen = F.col("bad"), F.lit(True)
     if check_mode(mode) == "fail_fast":
-        stop = first_bad_row(checked)
+        stop = first_bad_row(rows)
         seen = stop.isNull() | (F.col("row_index") <= stop)
-    return checked.agg(
+    return rows.agg(
         F.count("*").alias("total_records"),
         F.count_if(seen & ~bad).alias("valid_records"),
         F.count_if(seen & bad).alias("invalid_records"),
-        F.coalesce(F.sum(F.when(seen, F.size("problems"))), F.lit(0)).cast("long").alias("error_count"),
+        F.coalesce(F.sum(F.when(seen, F.col("n_problems"))), F.lit(0)).cast("long").alias("error_count"),
     ).withColumn("mode", F.lit(mode))
 
 

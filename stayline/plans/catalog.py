@@ -66,8 +66,8 @@ def src_batch_csv(spark, sf_dir):
     empty = F.col("row_index") % 41 == 9
     names = [c for c in records.columns if c != "row_index"]
     path = scratch_path(spark, "records_csv")
-    records.withColumns({n: F.when(~empty, F.col(n)) for n in names}).orderBy("row_index").select(names).write.option(
-        "header", True
+    records.withColumns({n: F.when(~empty, F.col(n)) for n in names}).orderBy("row_index").select(names).write.options(
+        header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     ).csv(path)
     return files.read_record_csv(spark, path)
 
@@ -231,7 +231,7 @@ def probability_range(spark, sf_dir):
 
 
 def checked_records(spark, sf_dir):
-    return validation.with_problems(t.raw_records(spark, sf_dir))
+    return validation.checked(t.raw_records(spark, sf_dir))
 
 
 @query
@@ -283,8 +283,8 @@ def val_status(spark, sf_dir):
     checked = checked_records(spark, sf_dir)
     cases = {
         "all": checked,
-        "good rows": checked.filter(~validation.is_bad()),
-        "bad rows": checked.filter(validation.is_bad()),
+        "good rows": checked.filter(~F.col("bad")),
+        "bad rows": checked.filter(F.col("bad")),
         "no rows": checked.filter(F.col("row_index") < 0),
     }
     result = None
@@ -948,9 +948,9 @@ def rep_outreach_summary(spark, sf_dir):
 @query
 def rep_outreach_status(spark, sf_dir):
     per_segment = (
-        validation.with_problems(t.raw_records(spark, sf_dir))
+        validation.checked(t.raw_records(spark, sf_dir))
         .groupBy("Geography")
-        .agg(F.sum(F.size("problems")).alias("n_errors"), F.count_if(~validation.is_bad()).alias("n_valid"))
+        .agg(F.sum("n_problems").alias("n_errors"), F.count_if(~F.col("bad")).alias("n_valid"))
     )
     return per_segment.select("Geography", reports.outreach_status(F.col("n_errors"), F.col("n_valid")).alias("status"))
 

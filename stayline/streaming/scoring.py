@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from stayline.operators.scoring import Scorer, decide, result_columns
-from stayline.operators.validation import error_rows, summary, valid_rows, with_problems
+from stayline.operators.validation import checked, error_rows, summary, valid_rows
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
@@ -22,8 +22,8 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType, files_per
 
 def score_stream(records: DataFrame, score: Scorer) -> tuple[DataFrame, DataFrame]:
     """Streams of results and of errors."""
-    checked = with_problems(records)
-    return result_columns(decide(valid_rows(checked), score)), error_rows(checked)
+    rows = checked(records)
+    return result_columns(decide(valid_rows(rows), score)), error_rows(rows)
 
 
 def write_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -42,7 +42,7 @@ def write_summaries(records: DataFrame, path: str, checkpoint: str) -> Streaming
     """One summary row per micro-batch; a repeated batch overwrites its own folder."""
 
     def store(batch: DataFrame, number: int) -> None:
-        summary(with_problems(batch)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        summary(checked(batch)).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return (
         records.writeStream.foreachBatch(store)
