@@ -7,10 +7,16 @@ from pyspark.sql import functions as F
 
 from stayline.fields import PROBABILITY_COLUMNS
 
-# White space around a number and underscores between digits are allowed ...
-IGNORED_PATTERN = r"(?U)^\s+|\s+$|(?<=\d)_(?=\d)"
-# ... other letters and signs are not, though a cast takes "1.0d", "0x1p3", "nan" and "inf".
-FOREIGN_PATTERN = r"[^0-9eE+\-.]"
+# Plain decimal spelling with white space around it and single underscores between
+# digits; "1.0d", "0x1p3", "nan" and "inf" are no numbers, though a cast takes them.
+_DIGITS = r"\d+(?:_\d+)*"
+NUMBER_PATTERN = (
+    r"(?U)^[\s\x1c-\x1f]*[+-]?"
+    rf"(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?"
+    r"[\s\x1c-\x1f]*$"
+)
+# Characters a spelled number may hold that a cast does not skip by itself.
+SKIPPED = "_\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def finite(value: Column) -> Column:
@@ -19,11 +25,18 @@ def finite(value: Column) -> Column:
     return F.when(~F.isnan(number) & (F.abs(number) != F.lit(float("inf"))), number)
 
 
+def _cast_spelling(text: Column) -> Column:
+    return F.translate(text, SKIPPED, "").try_cast("double")
+
+
+def spells_number(text: Column) -> Column:
+    """Whether `text` spells a finite number; null for null."""
+    return text.rlike(NUMBER_PATTERN) & (F.abs(_cast_spelling(text)) < F.lit(float("inf")))
+
+
 def number_from_text(text: Column) -> Column:
     """The number spelled in `text`, null when it does not spell a finite one."""
-    plain = F.regexp_replace(text, IGNORED_PATTERN, "")
-    number = F.when(~plain.rlike(FOREIGN_PATTERN), plain.try_cast("double"))
-    return F.when(F.abs(number) != F.lit(float("inf")), number)
+    return F.when(spells_number(text), _cast_spelling(text))
 
 
 def zero_if_missing(value: Column) -> Column:

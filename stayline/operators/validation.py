@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayline.fields import BATCH_MODES, NUMERIC_FEATURES, REQUIRED_FIELDS
-from stayline.functions.numbers import number_from_text
+from stayline.functions.numbers import number_from_text, spells_number
 from stayline.functions.text import python_quoted, strip_or_null
 
 
@@ -20,18 +20,17 @@ def check_mode(mode: str) -> str:
     return mode
 
 
-def _parsed(name: str) -> str:
-    return f"_number_{name}"
-
-
 def _is_missing(df: DataFrame, name: str) -> Column:
     if name not in df.columns:
         return F.lit(True)
     return F.col(name).isNull() | (F.col(name).cast("string") == "")
 
 
-def _is_wrong(name: str) -> Column:
-    return F.col(_parsed(name)).isNull()
+def _is_wrong(df: DataFrame, name: str) -> Column:
+    """Not a number; also true for a missing value."""
+    if name not in df.columns:
+        return F.lit(True)
+    return ~F.coalesce(spells_number(F.col(name).cast("string")), F.lit(False))
 
 
 def _found(problems: Sequence[Column]) -> Column:
@@ -59,7 +58,7 @@ def numeric_problems(df: DataFrame) -> Column:
         if name in df.columns:
             shown = python_quoted(F.col(name).cast("string"))
             message = F.concat(F.lit(f"Field '{name}' must be a number (got "), shown, F.lit(")"))
-            entries.append(F.when(_is_wrong(name), _problem(name, message)))
+            entries.append(F.when(_is_wrong(df, name), _problem(name, message)))
     return _found(entries)
 
 
@@ -81,25 +80,17 @@ def outreach_id(df: DataFrame, position: str = "row_index") -> Column:
 
 
 def checked(records: DataFrame) -> DataFrame:
-    """Add `id`, the parsed numbers, `bad` and `n_problems`.
+    """Add `id`, `bad` and `n_problems`.
 
     Casts are judged only where nothing is missing. Whether a row is bad needs
     no messages, so rows can be told apart before any text is put together.
     """
-    parsed = records.withColumns(
-        {
-            "id": record_id(records),
-            **{
-                _parsed(n): number_from_text(F.col(n).cast("string")) if n in records.columns else F.lit(None).cast("double")
-                for n in NUMERIC_FEATURES
-            },
-        }
-    )
-    wrong = [_is_wrong(n) for n in NUMERIC_FEATURES]
-    n_missing = _how_many([_is_missing(records, n) for n in REQUIRED_FIELDS])
+    wrong = [_is_wrong(records, n) for n in NUMERIC_FEATURES]
     texts = [_is_missing(records, n) for n in REQUIRED_FIELDS if n not in NUMERIC_FEATURES]
-    return parsed.withColumns(
+    n_missing = _how_many([_is_missing(records, n) for n in REQUIRED_FIELDS])
+    return records.withColumns(
         {
+            "id": record_id(records),
             "bad": reduce(or_, [*texts, *wrong]),
             "n_problems": F.when(n_missing > 0, n_missing).otherwise(_how_many(wrong)),
         }
@@ -128,8 +119,7 @@ def valid_rows(rows: DataFrame, mode: str = "partial") -> DataFrame:
     good = rows.filter(~F.col("bad"))
     if check_mode(mode) == "fail_fast":
         good = good.filter(first_bad_row(rows).isNull())
-    numbers = [_parsed(n) for n in NUMERIC_FEATURES]
-    return good.withColumns({n: F.col(_parsed(n)) for n in NUMERIC_FEATURES}).drop(*numbers, "bad", "n_problems")
+    return good.withColumns({n: number_from_text(F.col(n).cast("string")) for n in NUMERIC_FEATURES}).drop("bad", "n_problems")
 
 
 def summary(rows: DataFrame, mode: str = "partial") -> DataFrame:
