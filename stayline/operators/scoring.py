@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from stayline.fields import LABEL_THRESHOLD
 from stayline.functions.decisions import add_decisions
 from stayline.operators.selection import candidate_rules, email_candidates
-from stayline.operators.validation import checked, error_rows, summary, valid_rows, with_status
+from stayline.operators.validation import checked, error_rows, outreach_id, summary, valid_rows, with_status
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -72,12 +72,16 @@ def result_columns(decided: DataFrame, *extra: str) -> DataFrame:
 
 
 def score_batch(records: DataFrame, score: Scorer, options: Mapping | None = None) -> BatchOutput:
-    """The four tables of a batch run. Nothing runs until one of them is used."""
+    """The four tables of a batch run. Nothing runs until one of them is used.
+
+    Results keep e-mail and record id, so contacting customers needs no join
+    back to the records. Write results and errors when they are used twice.
+    """
     options = options or {}
     mode = options.get("mode", "fail_fast")
-    rows = checked(records)
+    rows = checked(records).withColumn("record_id", outreach_id(records))
     carried = ["email"] if "email" in records.columns else []
-    results = result_columns(decide(valid_rows(rows, mode), score), *carried)
+    results = result_columns(decide(valid_rows(rows, mode), score), "record_id", *carried)
     return BatchOutput(
         results=results,
         candidates=email_candidates(results, candidate_rules(options)),

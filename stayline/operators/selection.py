@@ -64,12 +64,8 @@ def candidate_rules(options: Mapping) -> CandidateRules:
     )
 
 
-def email_candidates(results: DataFrame, rules: CandidateRules = CandidateRules(), position: str = "index") -> DataFrame:
-    """Rows worth an e-mail, in input order, the first `max_candidates` of them.
-
-    Here an empty list of allowed actions lets nothing pass. Without a cap the
-    result is a plain filter and no sort is done.
-    """
+def is_candidate(rules: CandidateRules = CandidateRules()) -> Column:
+    """Whether a result row is worth an e-mail. An empty list of actions lets nothing pass."""
     p, action, gain = F.col("p_churn"), F.col("recommended_action"), F.col("net_gain")
     keep = finite(p).isNotNull() & action.isNotNull() & finite(gain).isNotNull()
     if rules.exclude_no_action:
@@ -79,7 +75,12 @@ def email_candidates(results: DataFrame, rules: CandidateRules = CandidateRules(
     keep &= gain >= (0.0 if rules.min_net_gain is None else rules.min_net_gain)
     if rules.allowed_actions is not None:
         keep &= action.isin(list(rules.allowed_actions)) if rules.allowed_actions else F.lit(False)
-    chosen = results.filter(keep).select(position, "id", "p_churn", "recommended_action", "net_gain")
+    return F.coalesce(keep, F.lit(False))
+
+
+def email_candidates(results: DataFrame, rules: CandidateRules = CandidateRules(), position: str = "index") -> DataFrame:
+    """Candidates in input order, the first `max_candidates` of them; without a cap nothing is sorted."""
+    chosen = results.filter(is_candidate(rules)).select(position, "id", "p_churn", "recommended_action", "net_gain")
     if rules.max_candidates is None or rules.max_candidates < 0:
         return chosen
     return best(chosen, rules.max_candidates, F.col(position))
@@ -102,23 +103,28 @@ def above_threshold(results: DataFrame, threshold: float) -> DataFrame:
     return results.withColumn("p_churn", unit_probability(results, "p_churn")).filter(F.col("p_churn") >= threshold)
 
 
-def with_contact(results: DataFrame, records: DataFrame, threshold: float) -> DataFrame:
-    """Join rows above the threshold to their source record for address and id.
+def with_contact(results: DataFrame, records: DataFrame | None, threshold: float) -> DataFrame:
+    """Rows above the threshold with id and address.
 
-    `address` is the result's own e-mail, else the record's; `in_range` tells
-    whether there is such a record.
+    A missing address or id comes from the source record at the row's position;
+    `in_range` tells whether there is one. Results that carry all they need
+    (columns email and record_id) are passed without records and not joined.
     """
-    source = records.select(
-        F.col("row_index").alias("index"),
-        normal_email(F.col("email")).alias("record_email") if "email" in records.columns else F.lit(None).cast("string").alias("record_email"),
-        outreach_id(records).alias("record_id"),
-    )
     high = above_threshold(results, threshold)
     own = normal_email(F.col("email")) if "email" in results.columns else F.lit(None).cast("string")
-    given_id = F.col("id") if "id" in results.columns else F.lit(None)
-    return high.join(source, "index", "left").select(
+    given = strip_or_null(F.col("id").cast("string")) if "id" in results.columns else F.lit(None).cast("string")
+    if records is None:
+        fallback = F.col("record_id") if "record_id" in results.columns else outreach_id(results, "index")
+        return high.select(
+            "index", F.coalesce(given, fallback).alias("id"), own.alias("email"), "p_churn", F.lit(True).alias("in_range")
+        )
+    address = normal_email(F.col("email")) if "email" in records.columns else F.lit(None).cast("string")
+    source = records.select(
+        F.col("row_index").alias("index"), address.alias("record_email"), outreach_id(records).alias("record_id")
+    )
+    return high.drop("record_id").join(source, "index", "left").select(
         "index",
-        F.coalesce(strip_or_null(given_id.cast("string")), F.col("record_id")).alias("id"),
+        F.coalesce(given, F.col("record_id")).alias("id"),
         F.coalesce(own, F.col("record_email")).alias("email"),
         "p_churn",
         F.col("record_id").isNotNull().alias("in_range"),
@@ -126,7 +132,7 @@ def with_contact(results: DataFrame, records: DataFrame, threshold: float) -> Da
 
 
 def recipients(
-    results: DataFrame, records: DataFrame, threshold: float = REQUEST_THRESHOLD, max_emails: int = MAX_EMAILS
+    results: DataFrame, records: DataFrame | None, threshold: float = REQUEST_THRESHOLD, max_emails: int = MAX_EMAILS
 ) -> DataFrame:
     """The customers to write to, highest probability first."""
     order = [F.desc("p_churn"), F.col("index"), F.col("id")]
@@ -134,7 +140,7 @@ def recipients(
     return ranked(best(found.drop("in_range"), max_emails, *order), *order)
 
 
-def recipient_errors(results: DataFrame, records: DataFrame, threshold: float = REQUEST_THRESHOLD) -> DataFrame:
+def recipient_errors(results: DataFrame, records: DataFrame | None, threshold: float = REQUEST_THRESHOLD) -> DataFrame:
     """Rows above the threshold that cannot be written to, and why."""
     contacts = with_contact(results, records, threshold)
     return contacts.filter(~F.col("in_range") | F.col("email").isNull()).select(

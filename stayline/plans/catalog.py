@@ -525,10 +525,8 @@ def score_label(spark, sf_dir):
 @query
 def score_batch(spark, sf_dir):
     batch = scoring.score_batch(t.raw_records(spark, sf_dir), linear_scorer, {"mode": "partial"})
-    chosen = batch.candidates.select("index", F.lit(True).alias("candidate"))
-    return rounded(batch.results.drop("email").join(chosen, "index", "left"), "clv", "net_gain").withColumn(
-        "candidate", F.coalesce("candidate", F.lit(False))
-    )
+    flagged = batch.results.drop("email", "record_id").withColumn("candidate", selection.is_candidate())
+    return rounded(flagged, "clv", "net_gain")
 
 
 @query
@@ -941,7 +939,7 @@ def record_options() -> jobs.OutreachOptions:
 def rep_outreach_summary(spark, sf_dir):
     records = t.raw_records(spark, sf_dir)
     batch = scoring.score_batch(records, linear_scorer, {"mode": "partial"})
-    chosen = selection.recipients(batch.results, records, REQUEST_THRESHOLD, 20)
+    chosen = selection.recipients(batch.results, None, REQUEST_THRESHOLD, 20)
     return reports.outreach_summary(batch.summary, chosen, REQUEST_THRESHOLD, 20, True)
 
 
