@@ -15,8 +15,16 @@ from pyspark.sql import functions as F
 
 from stayline.fields import EMAIL_PATTERN, TAG_PATTERN, TONES
 
+# What Python takes for white space.
+SPACE_CHARACTERS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 SPACE = r"[\s\x1c-\x1f]"
 SPACE_IN_LINE = r"[\s\x1c-\x1f&&[^\n]]"
+# A line break with the white space around it. The look-behind and the possessive
+# quantifier keep the search linear on long runs of spaces.
+PADDED_BREAK = rf"(?U)(?:(?<!{SPACE_IN_LINE}){SPACE_IN_LINE}++)?\n{SPACE_IN_LINE}*+"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 SUBJECT_PREFIX = rf"(?Ui)^{SPACE_IN_LINE}*subject{SPACE_IN_LINE}*:{SPACE}*"
 SUBJECT_LINE = rf"(?Uim)^{SPACE_IN_LINE}*subject{SPACE_IN_LINE}*:[^\n]*\n?"
@@ -25,7 +33,7 @@ ANY_TAG = r"[<>]"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACE_CHARACTERS))
 
 
 def strip_or_null(text: Column) -> Column:
@@ -50,7 +58,7 @@ def strip_tags(text: Column) -> Column:
 def trim_lines(text: Column) -> Column:
     """Every line stripped, breaks written as newline."""
     broken = F.regexp_replace(text, LINE_BREAK, "\n")
-    return F.regexp_replace(broken, rf"(?U){SPACE_IN_LINE}*\n{SPACE_IN_LINE}*", "\n")
+    return F.regexp_replace(broken, PADDED_BREAK, "\n")
 
 
 def collapse_blank_lines(text: Column) -> Column:

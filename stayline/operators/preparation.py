@@ -7,12 +7,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from stayline.fields import CATEGORICAL_FEATURES, FEATURES, ID_COLUMNS, NUMERIC_FEATURES, REQUIRED_FIELDS
 from stayline.functions.numbers import finite
 from stayline.operators.quantiles import exact_medians
 
-MAX_CATEGORIES = 10_000
+MAX_CATEGORIES = 1_000
 
 
 def missing_columns(df: DataFrame, required: Sequence[str] = REQUIRED_FIELDS) -> list[str]:
@@ -139,14 +140,13 @@ def fit_medians(train: DataFrame, columns: Sequence[str] = NUMERIC_FEATURES) ->
 
 
 def fit_categories(train: DataFrame, columns: Sequence[str] = CATEGORICAL_FEATURES) -> dict[str, list[str]]:
-    """Sorted levels per column. A column with very many levels is no category."""
-    levels = {}
-    for c in columns:
-        rows = train.select(c).filter(F.col(c).isNotNull()).distinct().limit(MAX_CATEGORIES + 1).collect()
-        if len(rows) > MAX_CATEGORIES:
-            raise ValueError(f"'{c}' has more than {MAX_CATEGORIES} levels")
-        levels[c] = sorted(row[c] for row in rows)
-    return levels
+    """Sorted levels per column, from one pass. A column with very many levels is no category."""
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("level")) for c in columns])
+    found = train.select(F.inline(cells)).filter(F.col("level").isNotNull()).distinct()
+    rows = found.limit(MAX_CATEGORIES + 1).collect()
+    if len(rows) > MAX_CATEGORIES:
+        raise ValueError(f"more than {MAX_CATEGORIES} levels in {', '.join(columns)}")
+    return {c: sorted(row["level"] for row in rows if row["feature"] == c) for c in columns}
 
 
 def fit_scaler(
@@ -173,14 +173,19 @@ def fit_preparation(train: DataFrame) -> Preparation:
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Balanced weight per class: rows / (classes * rows in the class)."""
     counts = df.groupBy(label).agg(F.count("*").alias("n_class"))
-    classes = counts.limit(MAX_CATEGORIES + 1).collect()
-    if len(classes) > MAX_CATEGORIES:
-        raise ValueError(f"'{label}' is not a class label")
-    total = sum(row["n_class"] for row in classes)
-    return counts.withColumn("weight", F.lit(float(total)) / (F.lit(float(len(classes))) * F.col("n_class")))
+    # One row per class from here on.
+    whole = W.partitionBy()
+    total = F.sum("n_class").over(whole).cast("double")
+    classes = F.count("*").over(whole).cast("double")
+    return counts.withColumn("weight", total / (classes * F.col("n_class")))
 
 
 def with_class_weights(df: DataFrame, label: str) -> DataFrame:
-    """Add the balanced weight of each row's class, from a table of one row per class."""
-    weights = class_weights(df, label).select(label, "weight")
-    return df.join(F.broadcast(weights), label)
+    """Add the balanced weight of each row's class."""
+    rows = class_weights(df, label).limit(MAX_CATEGORIES + 1).collect()
+    if len(rows) > MAX_CATEGORIES:
+        raise ValueError(f"'{label}' is not a class label")
+    weight = F.lit(None).cast("double")
+    for row in rows:
+        weight = F.when(F.col(label) == F.lit(row[label]), row["weight"]).otherwise(weight)
+    return df.withColumn("weight", weight)

@@ -13,9 +13,11 @@ from pyspark.sql import Window as W
 from stayline.fields import CANDIDATE_OPTION_KEYS, MAX_EMAILS, NO_ACTION, REQUEST_THRESHOLD
 from stayline.functions.numbers import finite, probability_source, unit_probability
 from stayline.functions.text import normal_email, strip, strip_or_null
+from stayline.operators.ranking import number_rows
 from stayline.operators.validation import outreach_id
 
-# Above this a "top n" would gather too many rows in one task.
+# Up to this many rows every task keeps its own best n; more are found by a distributed sort.
+TOP_PER_TASK = 10_000
 MAX_SELECTED = 1_000_000
 
 
@@ -83,19 +85,19 @@ def email_candidates(results: DataFrame, rules: CandidateRules = CandidateRules(
     chosen = results.filter(is_candidate(rules)).select(position, "id", "p_churn", "recommended_action", "net_gain")
     if rules.max_candidates is None or rules.max_candidates < 0:
         return chosen
-    return best(chosen, rules.max_candidates, F.col(position))
+    return top(chosen, rules.max_candidates, F.col(position)).drop("rank")
 
 
-def best(df: DataFrame, n: int, *order: Column) -> DataFrame:
-    """The first n rows. Each task keeps n, so n must stay small against the table."""
+def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
+    """The first n rows under `order`, with their rank."""
     if n > MAX_SELECTED:
         raise ValueError(f"cannot select more than {MAX_SELECTED} rows at once")
-    return df.orderBy(*order).limit(max(n, 0))
-
-
-def ranked(limited: DataFrame, *order: Column) -> DataFrame:
-    """Number the rows of an already limited table."""
-    return limited.withColumn("rank", F.row_number().over(W.orderBy(*order)).cast("long"))
+    if n > TOP_PER_TASK:
+        return number_rows(df, *order).filter(F.col("rank") <= n)
+    # The window sees n rows at most.
+    return df.orderBy(*order).limit(max(n, 0)).withColumn(
+        "rank", F.row_number().over(W.orderBy(*order)).cast("long")
+    )
 
 
 def above_threshold(results: DataFrame, threshold: float) -> DataFrame:
@@ -137,7 +139,7 @@ def recipients(
     """The customers to write to, highest probability first."""
     order = [F.desc("p_churn"), F.col("index"), F.col("id")]
     found = with_contact(results, records, threshold).filter(F.col("in_range") & F.col("email").isNotNull())
-    return ranked(best(found.drop("in_range"), max_emails, *order), *order)
+    return top(found.drop("in_range"), max_emails, *order)
 
 
 def recipient_errors(results: DataFrame, records: DataFrame | None, threshold: float = REQUEST_THRESHOLD) -> DataFrame:
@@ -181,8 +183,7 @@ def targets(results: DataFrame, threshold: float, max_n: int, require_email: boo
     ).filter(F.col("p_churn") >= threshold)
     if require_email:
         rows = rows.filter(F.col("email").isNotNull())
-    order = _target_order()
-    chosen = ranked(best(rows, max_n, *order), *order)
+    chosen = top(rows, max_n, *_target_order())
     return chosen.withColumn("metadata", target_metadata(chosen)).drop("has_id")
 
 

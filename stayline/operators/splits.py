@@ -92,13 +92,14 @@ def find_cuts(
         .filter((F.col("need") > F.col("cum") - F.col("n")) & (F.col("need") <= F.col("cum")))
         .select("part", "cut", "key", "id")
     )
-    strata = keyed.select("part").distinct().limit(MAX_STRATA + 1).collect()
-    if len(strata) > MAX_STRATA:
+    # Every stratum and cut, with its key if there is one: a cut at rank 0 has none.
+    cuts = F.array(*[F.lit(i) for i in range(len(ranks(F.lit(0))))])
+    expected = buckets.select("part").distinct().limit(MAX_STRATA + 1).withColumn("cut", F.explode(cuts))
+    keys: dict = {}
+    for row in expected.join(found, ["part", "cut"], "left").orderBy("cut").collect():
+        keys.setdefault(row["part"], []).append(None if row["key"] is None else (row["key"], row["id"]))
+    if len(keys) > MAX_STRATA:
         raise ValueError(f"'{stratum}' has more than {MAX_STRATA} values; it is not a class label")
-    n_cuts = len(ranks(F.lit(0)))
-    keys = {row["part"]: [None] * n_cuts for row in strata}
-    for row in found.collect():
-        keys[row["part"]][row["cut"]] = (row["key"], row["id"])
     return HashCuts(id_column, seed, stratum, keys)
 
 

@@ -21,6 +21,8 @@ def local_session(cores: int | str = "*", app: str = "stayline") -> SparkSession
         .config("spark.sql.shuffle.partitions", str(threads))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "8g")
+        # Recording the Python line of every column expression costs more than small queries do.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
