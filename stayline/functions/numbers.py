@@ -11,9 +11,7 @@ from stayline.fields import PROBABILITY_COLUMNS
 # digits; "1.0d", "0x1p3", "nan" and "inf" are no numbers, though a cast takes them.
 _DIGITS = r"\d+(?:_\d+)*"
 NUMBER_PATTERN = (
-    r"(?U)^[\s\x1c-\x1f]*[+-]?"
-    rf"(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?"
-    r"[\s\x1c-\x1f]*$"
+    rf"(?U)^\s*[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?\s*$"
 )
 # Characters a spelled number may hold that a cast does not skip by itself.
 SKIPPED = "_\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"

@@ -1,0 +1,132 @@
+import pytest
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
+
+from stayline import session
+from stayline.fields import FEATURES, REQUIRED_FIELDS
+from stayline.operators.preparation import Preparation
+from stayline.sources import files
+from stayline.sources import tables as t
+
+
+def write(folder, name, lines):
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_text("\n".join(lines) + "\n", encoding="utf8")
+
+
+def test_training_csv_takes_columns_in_any_order(spark, tmp_path):
+    names = ["Exited", "Gender", "CustomerId", *[f for f in FEATURES if f != "Gender"]]
+    write(tmp_path / "a", "x.csv", [",".join(names), ",".join(["1", "Male", "77", *["2.5"] * 8, "France"])])
+    df = files.read_training_csv(spark, str(tmp_path / "a"))
+    row = df.first()
+    assert (row["Exited"], row["CustomerId"], row["Age"], row["Gender"], row["Geography"]) == (1, 77, 2.5, "Male", "France")
+    write(tmp_path / "b", "x.csv", ["Age,Gender", "1,Male"])
+    with pytest.raises(ValueError, match="Missing required columns: CreditScore, Tenure"):
+        files.read_training_csv(spark, str(tmp_path / "b"))
+    with pytest.raises(AnalysisException):
+        files.read_training_csv(spark, str(tmp_path / "none"))
+
+
+def test_record_csv_positions_over_many_files_and_blocks(spark, tmp_path):
+    head = ",".join(["customer_id", *REQUIRED_FIELDS])
+    empty = "," * len(REQUIRED_FIELDS)
+    for part in range(3):
+        lines = []
+        for i in range(200):
+            lines.append(f"c{part}-{i}," + ",".join(["NA" if i % 7 == 0 else "1"] * len(REQUIRED_FIELDS)))
+            if i % 50 == 0:
+                lines.append(empty)
+        write(tmp_path / "r", f"part-{part}.csv", [head, *lines])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        rows = files.read_record_csv(spark, str(tmp_path / "r")).orderBy("row_index").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r["row_index"] for r in rows] == list(range(600))
+    assert [r["customer_id"] for r in rows] == [f"c{p}-{i}" for p in range(3) for i in range(200)]
+    assert rows[0]["Age"] is None and rows[1]["Age"] == "1"
+
+
+def test_record_csv_failures(spark, tmp_path):
+    write(tmp_path / "c", "x.csv", [",".join(f for f in REQUIRED_FIELDS if f != "Age"), "1"])
+    with pytest.raises(ValueError, match="CSV is missing required columns: Age"):
+        files.read_record_csv(spark, str(tmp_path / "c"))
+    write(tmp_path / "d", "x.csv", [",".join(REQUIRED_FIELDS), "," * (len(REQUIRED_FIELDS) - 1)])
+    with pytest.raises(ValueError, match="at least one data row"):
+        files.read_record_csv(spark, str(tmp_path / "d"))
+
+
+def test_json_bodies(spark, tmp_path):
+    body = '{"request_id": 4, "records": [{"row_id": 42, "Age": 41.5, "HasCrCard": true, "Gender": null}, {"Age": "bad"}], "options": {"mode": "partial"}}'
+    write(tmp_path / "j", "x.json", [body])
+    rows = files.with_position(files.read_record_bodies(spark, str(tmp_path / "j")), 100).orderBy("row_index").collect()
+    assert [(r["row_index"], r["row_id"], r["Age"], r["HasCrCard"], r["Gender"], r["mode"]) for r in rows] == [
+        (400, "42", "41.5", "1", None, "partial"),
+        (401, None, "bad", None, None, "partial"),
+    ]
+
+
+def test_bodies_hold_a_hundred_records_at_most(spark):
+    records = spark.range(250).select(F.col("id").alias("row_index"), F.lit("x").alias("Age"))
+    counts = files.record_bodies(records).select(F.size(F.split("value", '"Age"')) - 1).collect()
+    assert sorted(r[0] for r in counts) == [50, 100, 100]
+
+
+def test_metadata_round_trip_and_defaults(spark, tmp_path):
+    prepared = Preparation({}, dict.fromkeys(["Age"], 0.0), {"Age": 1.0}, {"Gender": ["F", "M"]})
+    schema = files.feature_schema(spark, spark.createDataFrame([(1.0,) * 8 + ("x", "y")], FEATURES), prepared)
+    made = files.training_metadata(spark, "Random Forest", "m/1", "2024-01-01", {"roc_auc": 0.8}, schema, "3.1.0")
+    files.write_metadata(made, str(tmp_path / "meta"))
+    row = files.read_metadata(spark, str(tmp_path / "meta")).first()
+    assert (row["trained_at"], row["model_name"], row["version"], row["metrics"]) == ("2024-01-01", "Random Forest", "3.1.0", {"roc_auc": 0.8})
+    assert row["feature_schema"]["input_columns"] == FEATURES
+    assert row["feature_schema"]["transformed_columns"] == ["Age", "Gender_F", "Gender_M"]
+    assert row["feature_schema"]["raw_features"][0].asDict() == {"name": "CreditScore", "dtype": "double"}
+    scored = spark.createDataFrame([("m/1",), ("m/2",)], "model_path string")
+    got = files.with_model_version(scored, files.read_metadata(spark, str(tmp_path / "meta"))).collect()
+    assert {(r["model_path"], r["model_name"], r["model_version"]) for r in got} == {
+        ("m/1", "Random Forest", "3.1.0"),
+        ("m/2", "churn_predictor", "1.0.0"),
+    }
+
+
+def test_unknown_table(spark, sf_dir):
+    with pytest.raises(ValueError):
+        t.table(spark, sf_dir, "churn")
+
+
+def test_one_scan_of_orders(spark, sf_dir):
+    plan = t.scored_customers(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("orders.parquet") == 1
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_columns_reach_the_scan(spark, sf_dir):
+    plan = t.scored_customers(spark, sf_dir).select("Churned")._jdf.queryExecution().executedPlan().toString()
+    assert "o_totalprice" not in plan and "c_name" not in plan
+
+
+class FakeContext:
+    def __init__(self, master, folder=None):
+        self.master, self.folder = master, folder
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+class FakeSession:
+    def __init__(self, master, setting=None):
+        self.sparkContext = FakeContext(master)
+        self.conf = type("Conf", (), {"get": staticmethod(lambda _, default=None: setting or default)})()
+
+
+def test_shared_folder_comes_from_the_session():
+    cluster = FakeSession("spark://host:7077", "hdfs:///shared")
+    assert session.shared_folder(cluster) == "hdfs:///shared" == cluster.sparkContext.folder
+    assert session.scratch_path(cluster, "x").startswith("hdfs:///shared/stayline/")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_folder(FakeSession("yarn"))
+    assert session.shared_folder(FakeSession("local[2]"))
