@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from stayline.fields import PROBABILITY_COLUMNS
 
+# Characters around or inside a spelled number that a cast does not skip by itself.
+SKIPPED = "_\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 # Plain decimal spelling with white space around it and single underscores between
 # digits; "1.0d", "0x1p3", "nan" and "inf" are no numbers, though a cast takes them.
-_DIGITS = r"\d+(?:_\d+)*"
+_SPACE = rf"[\s{SKIPPED[1:]}]*+"
+_DIGITS = r"[0-9]+(?:_[0-9]+)*"
 NUMBER_PATTERN = (
-    rf"(?U)^\s*[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?\s*$"
+    rf"^{_SPACE}[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?{_SPACE}$"
 )
-# Characters a spelled number may hold that a cast does not skip by itself.
-SKIPPED = "_\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def finite(value: Column) -> Column:
@@ -23,18 +24,10 @@ def finite(value: Column) -> Column:
     return F.when(~F.isnan(number) & (F.abs(number) != F.lit(float("inf"))), number)
 
 
-def _cast_spelling(text: Column) -> Column:
-    return F.translate(text, SKIPPED, "").try_cast("double")
-
-
-def spells_number(text: Column) -> Column:
-    """Whether `text` spells a finite number; null for null."""
-    return text.rlike(NUMBER_PATTERN) & (F.abs(_cast_spelling(text)) < F.lit(float("inf")))
-
-
 def number_from_text(text: Column) -> Column:
     """The number spelled in `text`, null when it does not spell a finite one."""
-    return F.when(spells_number(text), _cast_spelling(text))
+    number = F.translate(text, SKIPPED, "").try_cast("double")
+    return F.when(text.rlike(NUMBER_PATTERN) & (F.abs(number) < F.lit(float("inf"))), number)
 
 
 def zero_if_missing(value: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayline.fields import BATCH_MODES, NUMERIC_FEATURES, REQUIRED_FIELDS
-from stayline.functions.numbers import number_from_text, spells_number
+from stayline.functions.numbers import number_from_text
 from stayline.functions.text import python_quoted, strip_or_null
 
 
@@ -26,40 +26,60 @@ def _is_missing(df: DataFrame, name: str) -> Column:
     return F.col(name).isNull() | (F.col(name).cast("string") == "")
 
 
-def _is_wrong(df: DataFrame, name: str) -> Column:
-    """Not a number; also true for a missing value."""
-    if name not in df.columns:
-        return F.lit(True)
-    return ~F.coalesce(spells_number(F.col(name).cast("string")), F.lit(False))
+def _parsed(name: str) -> str:
+    return f"_number_{name}"
 
 
-def _found(problems: Sequence[Column]) -> Column:
-    return F.array_compact(F.array(*problems))
+def with_numbers(records: DataFrame) -> DataFrame:
+    """Add each numeric field as a number, null where it is missing or spells none.
+
+    The numbers come out of a one-row generator. A filter on them then stays
+    behind it, and every text is parsed once; pushed below a plain projection
+    the filter would parse all of them a second time.
+    """
+    numbers = [
+        number_from_text(F.col(n).cast("string")) if n in records.columns else F.lit(None).cast("double")
+        for n in NUMERIC_FEATURES
+    ]
+    one_row = F.array(F.struct(*[c.alias(_parsed(n)) for n, c in zip(NUMERIC_FEATURES, numbers)]))
+    return records.select("*", F.inline(one_row))
 
 
-def _problem(field: str, message: Column) -> Column:
-    return F.struct(F.lit(field).alias("field"), message.alias("message"))
+def _is_wrong(name: str) -> Column:
+    return F.col(_parsed(name)).isNull()
+
+
+def _problem(field: Column, message: Column) -> Column:
+    return F.struct(field.alias("field"), message.alias("message"))
 
 
 def missing_problems(df: DataFrame) -> Column:
     """One entry per required field that is absent, null or empty."""
-    return _found(
-        [
-            F.when(_is_missing(df, name), _problem(name, F.lit(f"Missing required field: {name}")))
-            for name in REQUIRED_FIELDS
-        ]
+    cells = F.array(
+        *[F.struct(F.lit(n).alias("field"), _is_missing(df, n).alias("missing")) for n in REQUIRED_FIELDS]
+    )
+    return F.transform(
+        F.filter(cells, lambda c: c["missing"]),
+        lambda c: _problem(c["field"], F.concat(F.lit("Missing required field: "), c["field"])),
     )
 
 
 def numeric_problems(df: DataFrame) -> Column:
     """One entry per numeric field that does not spell a finite number."""
-    entries = []
-    for name in NUMERIC_FEATURES:
-        if name in df.columns:
-            shown = python_quoted(F.col(name).cast("string"))
-            message = F.concat(F.lit(f"Field '{name}' must be a number (got "), shown, F.lit(")"))
-            entries.append(F.when(_is_wrong(df, name), _problem(name, message)))
-    return _found(entries)
+    cells = F.array(
+        *[
+            F.struct(F.lit(n).alias("field"), F.col(n).cast("string").alias("raw"), _is_wrong(n).alias("wrong"))
+            for n in NUMERIC_FEATURES
+            if n in df.columns
+        ]
+    )
+
+    def message(cell: Column) -> Column:
+        return F.concat(
+            F.lit("Field '"), cell["field"], F.lit("' must be a number (got "), python_quoted(cell["raw"]), F.lit(")")
+        )
+
+    return F.transform(F.filter(cells, lambda c: c["wrong"]), lambda c: _problem(c["field"], message(c)))
 
 
 def _how_many(conditions: Sequence[Column]) -> Column:
@@ -80,19 +100,19 @@ def outreach_id(df: DataFrame, position: str = "row_index") -> Column:
 
 
 def checked(records: DataFrame) -> DataFrame:
-    """Add `id`, `bad` and `n_problems`.
+    """Add `id`, the parsed numbers, `n_problems` and `bad`.
 
     Casts are judged only where nothing is missing. Whether a row is bad needs
     no messages, so rows can be told apart before any text is put together.
     """
-    wrong = [_is_wrong(records, n) for n in NUMERIC_FEATURES]
-    texts = [_is_missing(records, n) for n in REQUIRED_FIELDS if n not in NUMERIC_FEATURES]
     n_missing = _how_many([_is_missing(records, n) for n in REQUIRED_FIELDS])
-    return records.withColumns(
+    n_wrong = _how_many([_is_wrong(n) for n in NUMERIC_FEATURES])
+    texts = [_is_missing(records, n) for n in REQUIRED_FIELDS if n not in NUMERIC_FEATURES]
+    return with_numbers(records).withColumns(
         {
             "id": record_id(records),
-            "bad": reduce(or_, [*texts, *wrong]),
-            "n_problems": F.when(n_missing > 0, n_missing).otherwise(_how_many(wrong)),
+            "bad": reduce(or_, [*texts, *[_is_wrong(n) for n in NUMERIC_FEATURES]]),
+            "n_problems": F.when(n_missing > 0, n_missing).otherwise(n_wrong),
         }
     )
 
@@ -109,7 +129,9 @@ def error_rows(rows: DataFrame, mode: str = "partial") -> DataFrame:
         wanted = wanted.filter(F.col("row_index") == first_bad_row(rows))
     missing = wanted.withColumn("missing", missing_problems(rows))
     problems = F.when(F.size("missing") > 0, F.col("missing")).otherwise(numeric_problems(rows))
-    return missing.select("row_index", "id", F.posexplode(problems).alias("error_no", "problem")).select(
+    # Bad rows have a problem each. The outer form keeps Spark from testing that first,
+    # which would put the messages together twice.
+    return missing.select("row_index", "id", F.posexplode_outer(problems).alias("error_no", "problem")).select(
         "row_index", "id", "error_no", "problem.field", "problem.message"
     )
 
@@ -119,7 +141,8 @@ def valid_rows(rows: DataFrame, mode: str = "partial") -> DataFrame:
     good = rows.filter(~F.col("bad"))
     if check_mode(mode) == "fail_fast":
         good = good.filter(first_bad_row(rows).isNull())
-    return good.withColumns({n: number_from_text(F.col(n).cast("string")) for n in NUMERIC_FEATURES}).drop("bad", "n_problems")
+    kept = [c for c in rows.columns if c not in {"bad", "n_problems", *map(_parsed, NUMERIC_FEATURES)}]
+    return good.select(*[F.col(_parsed(c)).alias(c) if c in NUMERIC_FEATURES else F.col(c) for c in kept])
 
 
 def summary(rows: DataFrame, mode: str = "partial") -> DataFrame:
