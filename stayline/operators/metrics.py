@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from stayline.fields import LABEL_THRESHOLD, LIFT_FRACTIONS
 from stayline.operators.ranking import number_rows, running_totals
 
+# Cuts are broadcast up to this many rows, joined by shuffle beyond.
+MAX_BROADCAST_ROWS = 100_000
+
 
 def score_histogram(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Rows and positives per score, best score first, with running and total counts."""
@@ -140,11 +143,14 @@ def lift_curve(
     )
     # One row per k and group. A cut through equal scores of both labels is open.
     is_open = (F.col("need") < F.col("n")) & (F.col("pos") > 0) & (F.col("pos") < F.col("n"))
-    if cuts.filter(is_open).isEmpty():
-        inside = F.when(F.col("pos") == 0, F.lit(0)).otherwise(F.col("need"))
-        found = cuts.withColumn("hits", F.col("pos_before") + F.when(F.col("need") == F.col("n"), F.col("pos")).otherwise(inside))
-    else:
-        found = _open_cuts(df, label, score, id_column, by, cuts)
+    inside = F.when(F.col("need") == F.col("n"), F.col("pos")).when(F.col("pos") == F.col("n"), F.col("need")).otherwise(0)
+    open_cuts = cuts.filter(is_open)
+    n_open = open_cuts.count()
+    if n_open:
+        ranked = _ranked_hits(df, label, score, id_column, by, open_cuts, small=n_open <= MAX_BROADCAST_ROWS)
+        cuts = cuts.join(ranked, [*by, "no"], "left")
+        inside = F.coalesce(F.col("ranked_hits"), inside)
+    found = cuts.withColumn("hits", F.col("pos_before") + inside)
     precision = ratio(F.col("hits"), F.col("size"))
     prevalence = ratio(F.col("total_pos"), F.col("total_n"))
     return found.select(
@@ -157,27 +163,32 @@ def lift_curve(
     )
 
 
-def _open_cuts(df: DataFrame, label: str, score: str, id_column: str, by: Sequence[str], cuts: DataFrame) -> DataFrame:
-    """Count positives up to each cut by ranking the rows of the cut scores by id."""
+def _ranked_hits(
+    df: DataFrame, label: str, score: str, id_column: str, by: Sequence[str], cuts: DataFrame, small: bool
+) -> DataFrame:
+    """Positives up to each open cut, by ranking the rows of the cut scores by id."""
     key = [*by, "score"]
+
+    def side(table: DataFrame) -> DataFrame:
+        return F.broadcast(table) if small else table
+
     rows = df.select(
         *by,
         F.col(score).cast("double").alias("score"),
         F.col(label).cast("long").alias("label"),
         F.col(id_column).alias("id"),
     )
-    tied = rows.join(F.broadcast(cuts.select(*key).distinct()), key, "left_semi")
+    tied = rows.join(side(cuts.select(*key).distinct()), key, "left_semi")
     ranked = number_rows(tied, *key, "id", name="place")
     starts = ranked.groupBy(*key).agg(F.min("place").alias("start"))
     needs = cuts.select(*key, "no", "need").join(starts, key)
-    # `needs` has one row per k and group, so every tied row meets at most len(k_values) cuts.
-    hits = (
-        ranked.join(F.broadcast(needs), key)
+    # A tied row meets one row per k at most.
+    return (
+        ranked.join(side(needs), key)
         .filter(F.col("place") - F.col("start") < F.col("need"))
         .groupBy(*by, "no")
-        .agg(F.sum("label").alias("inside"))
+        .agg(F.sum("label").alias("ranked_hits"))
     )
-    return cuts.join(hits, [*by, "no"]).withColumn("hits", F.col("pos_before") + F.col("inside"))
 
 
 def metrics_report(

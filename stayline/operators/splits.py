@@ -80,9 +80,11 @@ def find_cuts(
         F.explode(F.filter(wanted, lambda w: (w["rank"] > F.col("cum") - F.col("n")) & (w["rank"] <= F.col("cum")))).alias("hit"),
     ).select("part", "prefix", "hit.cut", (F.col("hit.rank") - F.col("before")).alias("need"))
 
-    # One row per stratum and cut, few by contract.
+    # One row per stratum and cut. The limit is never reached by a class label, and
+    # a column with more values is refused below.
+    n_cuts = len(ranks(F.lit(0)))
     inside = (
-        keyed.join(F.broadcast(hits), ["part", "prefix"])
+        keyed.join(F.broadcast(hits.limit(n_cuts * (MAX_STRATA + 1))), ["part", "prefix"])
         .groupBy("part", "cut", "need", "key", "id")
         .agg(F.count("*").alias("n"))
     )
@@ -93,7 +95,7 @@ def find_cuts(
         .select("part", "cut", "key", "id")
     )
     # Every stratum and cut, with its key if there is one: a cut at rank 0 has none.
-    cuts = F.array(*[F.lit(i) for i in range(len(ranks(F.lit(0))))])
+    cuts = F.array(*[F.lit(i) for i in range(n_cuts)])
     expected = buckets.select("part").distinct().limit(MAX_STRATA + 1).withColumn("cut", F.explode(cuts))
     keys: dict = {}
     for row in expected.join(found, ["part", "cut"], "left").orderBy("cut").collect():

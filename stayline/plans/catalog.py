@@ -109,7 +109,7 @@ def fitted_logistic(spark, sf_dir) -> tuple[DataFrame, PipelineModel]:
     rows = stored(training_rows(spark, sf_dir), "training")
     matrix = jobs.training_matrix(rows, LABEL, ID)
     model = training.estimator("Logistic Regression", {"C": 1.0}, matrix.train.count()).fit(matrix.train)
-    return rows, training.with_preparation(matrix.prepared, model)
+    return rows, training.with_preparation(matrix.prepared, model, impute=True)
 
 
 @query

@@ -185,7 +185,7 @@ def test_outbox_rejects_a_bad_sender(spark):
 @pytest.fixture(scope="module")
 def run(spark, sf_dir):
     folder = scratch_path(spark, "run")
-    return folder, jobs.training_run(training_rows(spark, "/root/testdata/sf0.01"), folder, "2024-05-05", "Churned", grids=SMALL_GRIDS)
+    return folder, jobs.training_run(training_rows(spark, "/root/testdata/sf0.01"), folder, "2024-05-05", "Churned", grids=SMALL_GRIDS, impute_when_scoring=True)
 
 
 def test_training_run(spark, run):
@@ -210,6 +210,19 @@ def test_saved_model_scores_raw_features(spark, sf_dir, run):
     assert both.count() == 150 and both.filter("a <> p_churn or p_churn not between 0 and 1").count() == 0
 
 
+def test_strict_scoring_refuses_missing_numbers(spark, sf_dir, run):
+    _, done = run
+    rows = stored(training_rows(spark, sf_dir), "rows")
+    matrix = jobs.training_matrix(rows, "Churned")
+    model = training.estimator("Logistic Regression", {"C": 1.0}, 100).fit(matrix.train)
+    strict = scoring.model_scorer(training.with_preparation(matrix.prepared, model))
+    loose = scoring.model_scorer(training.with_preparation(matrix.prepared, model, impute=True))
+    whole = rows.dropna(subset=FEATURES)
+    assert strict(whole).select("CustomerId", "p_churn").exceptAll(loose(whole).select("CustomerId", "p_churn")).count() == 0
+    with pytest.raises(Exception, match="(?i)null|invalid"):
+        strict(rows.withColumn("Age", F.lit(None).cast("double"))).agg(F.sum("p_churn")).collect()
+
+
 def test_gate(spark):
     rows = spark.range(400).select(
         F.col("id").alias("CustomerId"), *[F.lit(1.0).alias(f) if f not in ("Geography", "Gender") else F.lit("x").alias(f) for f in FEATURES],
