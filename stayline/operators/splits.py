@@ -8,8 +8,11 @@ itself is never shuffled or sorted. Rows sharing an id stay together.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +20,7 @@ from pyspark.sql import Window as W
 
 # Leading hex digits of the hash: 4096 even buckets per stratum.
 PREFIX_DIGITS = 3
-MAX_STRATA = 1000
+MAX_STRATA = 100
 
 
 def hash_key(id_column: str, seed: int) -> Column:
@@ -52,56 +55,60 @@ class HashCuts:
 
 
 def find_cuts(
-    df: DataFrame, id_column: str, ranks: Callable[[Column], list[Column]], stratum: str | None, seed: int
+    df: DataFrame, id_column: str, ranks: Callable[[int], list[int]], stratum: str | None, seed: int
 ) -> HashCuts:
-    """Find the keys at the given ranks; `ranks` maps a stratum's size to the wanted ranks."""
+    """Find the keys at the given ranks; `ranks` maps a stratum's size to the wanted ranks.
+
+    Two passes over id and label: one counts hash prefixes, the other ranks the
+    keys of the few prefixes that hold a cut. Between them only counts reach the
+    driver, 4,096 per class.
+    """
     part = F.lit("all") if stratum is None else F.col(stratum)
     keyed = df.select(
         part.alias("part"), F.col(id_column).alias("id"), hash_key(id_column, seed).alias("key")
     ).withColumn("prefix", F.substring("key", 1, PREFIX_DIGITS))
 
-    along = W.partitionBy("part").orderBy("prefix").rowsBetween(W.unboundedPreceding, 0)
-    buckets = (
-        keyed.groupBy("part", "prefix")
-        .agg(F.count("*").alias("n"))
-        .select(
-            "part",
-            "prefix",
-            "n",
-            F.sum("n").over(along).alias("cum"),
-            F.sum("n").over(W.partitionBy("part")).alias("size"),
-        )
-    )
-    wanted = F.array(*[F.struct(F.lit(i).alias("cut"), r.cast("long").alias("rank")) for i, r in enumerate(ranks(F.col("size")))])
-    hits = buckets.select(
-        "part",
-        "prefix",
-        (F.col("cum") - F.col("n")).alias("before"),
-        F.explode(F.filter(wanted, lambda w: (w["rank"] > F.col("cum") - F.col("n")) & (w["rank"] <= F.col("cum")))).alias("hit"),
-    ).select("part", "prefix", "hit.cut", (F.col("hit.rank") - F.col("before")).alias("need"))
-
-    # One row per stratum and cut. The limit is never reached by a class label, and
-    # a column with more values is refused below.
-    n_cuts = len(ranks(F.lit(0)))
-    inside = (
-        keyed.join(F.broadcast(hits.limit(n_cuts * (MAX_STRATA + 1))), ["part", "prefix"])
-        .groupBy("part", "cut", "need", "key", "id")
+    sizes: dict = {}
+    counted = keyed.groupBy("part", "prefix").agg(F.count("*").alias("n"))
+    for row in counted.limit(MAX_STRATA * 16**PREFIX_DIGITS + 1).collect():
+        sizes.setdefault(row["part"], {})[row["prefix"]] = row["n"]
+    if len(sizes) > MAX_STRATA:
+        raise ValueError(f"'{stratum}' has more than {MAX_STRATA} values; it is not a class label")
+    if None in sizes:
+        raise ValueError(f"'{stratum}' has rows without a value")
+
+    keys, wanted = {}, []
+    for value, buckets in sizes.items():
+        targets = ranks(sum(buckets.values()))
+        keys[value] = [None] * len(targets)
+        for cut, rank in enumerate(targets):
+            below = 0
+            for prefix in sorted(buckets):
+                if below < rank <= below + buckets[prefix]:
+                    wanted.append((value, cut, prefix, rank - below))
+                below += buckets[prefix]
+    if not wanted:
+        return HashCuts(id_column, seed, stratum, keys)
+
+    def holds(value, prefix: str) -> Column:
+        return (F.col("part") == F.lit(value)) & (F.col("prefix") == prefix)
+
+    by_key = W.partitionBy("part", "prefix").orderBy("key", "id").rowsBetween(W.unboundedPreceding, 0)
+    ranked = (
+        keyed.filter(reduce(or_, [holds(value, prefix) for value, _, prefix, _ in wanted]))
+        .groupBy("part", "prefix", "key", "id")
         .agg(F.count("*").alias("n"))
+        .withColumn("cum", F.sum("n").over(by_key))
     )
-    by_key = W.partitionBy("part", "cut").orderBy("key", "id").rowsBetween(W.unboundedPreceding, 0)
-    found = (
-        inside.withColumn("cum", F.sum("n").over(by_key))
-        .filter((F.col("need") > F.col("cum") - F.col("n")) & (F.col("need") <= F.col("cum")))
-        .select("part", "cut", "key", "id")
-    )
-    # Every stratum and cut, with its key if there is one: a cut at rank 0 has none.
-    cuts = F.array(*[F.lit(i) for i in range(n_cuts)])
-    expected = buckets.select("part").distinct().limit(MAX_STRATA + 1).withColumn("cut", F.explode(cuts))
-    keys: dict = {}
-    for row in expected.join(found, ["part", "cut"], "left").orderBy("cut").collect():
-        keys.setdefault(row["part"], []).append(None if row["key"] is None else (row["key"], row["id"]))
-    if len(keys) > MAX_STRATA:
-        raise ValueError(f"'{stratum}' has more than {MAX_STRATA} values; it is not a class label")
+    hits = [
+        F.when(holds(value, prefix) & (F.col("cum") >= need) & (F.col("cum") - F.col("n") < need), i)
+        for i, (value, _, prefix, need) in enumerate(wanted)
+    ]
+    found = ranked.withColumn("hits", F.array_compact(F.array(*hits))).filter(F.size("hits") > 0)
+    for row in found.select("hits", "key", "id").collect():
+        for hit in row["hits"]:
+            value, cut, _, _ = wanted[hit]
+            keys[value][cut] = (row["key"], row["id"])
     return HashCuts(id_column, seed, stratum, keys)
 
 
@@ -109,7 +116,7 @@ def split_cuts(
     df: DataFrame, id_column: str, label: str | None = None, test_share: float = 0.2, seed: int = 42
 ) -> HashCuts:
     """Where the test set ends: `test_share` of every class, or of the table without a label."""
-    return find_cuts(df, id_column, lambda size: [F.round(F.lit(test_share) * size)], label, seed)
+    return find_cuts(df, id_column, lambda size: [math.floor(test_share * size + 0.5)], label, seed)
 
 
 def with_split(df: DataFrame, cuts: HashCuts) -> DataFrame:
@@ -123,11 +130,7 @@ def train_test(df: DataFrame, cuts: HashCuts) -> tuple[DataFrame, DataFrame]:
 def fold_cuts(df: DataFrame, id_column: str, label: str | None, folds: int = 3, seed: int = 42) -> HashCuts:
     """Where each fold but the last ends; sizes within a class differ by one at most."""
     return find_cuts(
-        df,
-        id_column,
-        lambda size: [F.ceil(size * F.lit(float(j)) / F.lit(float(folds))) for j in range(1, folds)],
-        label,
-        seed,
+        df, id_column, lambda size: [-(-size * j // folds) for j in range(1, folds)], label, seed
     )
 
 

@@ -134,3 +134,9 @@ def test_split_keeps_copies_together_and_rejects_non_labels(spark):
     assert marked.select("id", "split").distinct().count() == 40
     with pytest.raises(ValueError, match="class label"):
         splits.split_cuts(spark.range(1500).withColumn("y", F.col("id")), "id", "y")
+
+
+def test_split_refuses_rows_without_label(spark):
+    df = spark.createDataFrame([(1, 0), (2, None)], "id long, y int")
+    with pytest.raises(ValueError, match="without a value"):
+        splits.split_cuts(df, "id", "y")
