@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stayline.llm import mixing, packing, warc
+from stayline.llm import hnsw, language, mixing, multi_index, packing, quality, warc
 from stayline.llm.common import table
 from stayline.session import scratch_path
 
@@ -30,11 +30,32 @@ def op3_pattern_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_rank_order_language(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_source_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op7_byte_cnn_quality(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op9_graph_neighbours(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return hnsw.nearest(rows, rows.where("vec_id % 20 = 0"))
+
+
+@query
+def op10_multi_index_near_duplicates(spark, sf_dir):
+    return multi_index.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 ORACLE["op1_warc_transactions"] = """
 with p as (select page_id, url, coalesce(html, '') as html from pages),
 d as (select distinct page_id, url, html, strlen(html) as n, sha1(html) as digest from p),
