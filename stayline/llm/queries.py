@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stayline.llm import hnsw, language, mixing, multi_index, packing, quality, warc
+from stayline.llm import extraction, hnsw, language, mixing, multi_index, packing, quality, warc
 from stayline.llm.common import table
 from stayline.session import scratch_path
 
@@ -30,6 +30,11 @@ def op3_pattern_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_template_text(spark, sf_dir):
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
 @query
 def op5_rank_order_language(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "documents"))
