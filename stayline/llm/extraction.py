@@ -128,7 +128,7 @@ def blocks(page: str) -> tuple[list[tuple[str, bool, str, int]], Counter]:
             step += "." + named["class"].split()[0]
         elif named.get("id"):
             step += "#" + named["id"]
-        step = re.sub(r"\d+", "0", step.replace("/", ""))[:60]
+        step = tag + re.sub(r"\d+", "0", step[len(tag) :].replace("/", ""))[:60]
         path = above.path if above.path.count("/") >= DEPTH else f"{above.path}/{step}"
         opened[path] += 1
         stack.append(Element(tag, path, chrome, article))
