@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def all_of(*conditions):
-    return reduce(lambda a, b: a & b, conditions)
+def smallest_reachable(yes: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest id that each row and column reaches through the links of one block."""
+    while True:
+        before = left, right
+        left = np.minimum(left, np.where(yes, right[None, :], np.iinfo(np.int64).max).min(axis=1))
+        right = np.minimum(right, np.where(yes, left[:, None], np.iinfo(np.int64).max).min(axis=0))
+        if (left == before[0]).all() and (right == before[1]).all():
+            return left, right
 
 
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:

@@ -272,6 +272,8 @@ def extract(pages: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [main_text(page, main, set(other) if other is not None else set()) for page, main, other in zip(batch["html"], batch["main"], batch["other"], strict=True)]
-            yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+            yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    return joined.withColumn("page_id", F.col("page_id").cast("long")).mapInPandas(cut, "page_id long, url string, text string, n_chars long")
+    # Ids travel as text, since pandas turns whole numbers beside nulls into floats.
+    out = joined.withColumn("page_id", F.col("page_id").cast("string")).mapInPandas(cut, "page_id string, url string, text string, n_chars long")
+    return out.withColumn("page_id", F.col("page_id").cast("long"))

@@ -135,11 +135,12 @@ def identify(docs: DataFrame, size: int = PROFILE_SIZE) -> DataFrame:
         for batch in batches:
             found = [profiles.nearest(text) for text in batch["text"]]
             yield pd.DataFrame({
-                "doc_id": batch["doc_id"].astype("Int64"),
+                "doc_id": batch["doc_id"],
                 "held_out": batch["held_out"].astype(bool),
                 "lang_pred": [lang for lang, _ in found],
                 "score": [score for _, score in found],
             })
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold() == HELD_OUT, F.lit(False)).alias("held_out"), "text")
-    return rows.mapInPandas(predict, "doc_id long, held_out boolean, lang_pred string, score double")
+    # Ids travel as text, since pandas turns whole numbers beside nulls into floats.
+    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.coalesce(fold() == HELD_OUT, F.lit(False)).alias("held_out"), "text")
+    return rows.mapInPandas(predict, "doc_id string, held_out boolean, lang_pred string, score double").withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayline.llm.common import components
+from stayline.llm.common import components, smallest_reachable
 from stayline.llm.vectors import distinct_vectors, usable
 from stayline.session import stored
 
@@ -111,16 +111,6 @@ def linked(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
     return yes
 
 
-def smallest_reachable(yes: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Smallest id that each row and column reaches through the links of one block."""
-    while True:
-        before = left, right
-        left = np.minimum(left, np.where(yes, right[None, :], np.iinfo(np.int64).max).min(axis=1))
-        right = np.minimum(right, np.where(yes, left[:, None], np.iinfo(np.int64).max).min(axis=0))
-        if (left == before[0]).all() and (right == before[1]).all():
-            return left, right
-
-
 def near_duplicates(rows: DataFrame, similarity: float = SIMILARITY, cell_rows: int = CELL_ROWS, sample: int = SAMPLE) -> DataFrame:
     """Links of cosine at least `similarity` between all vectors, and their components.
 

@@ -54,7 +54,7 @@ def pieces(docs: DataFrame, size: int, json_path: str, ranks_path: str, with_ids
     `task` and `slot` number the pieces of one length within a task; they mean
     something only once the table is written.
     """
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, slot long" + (", ids array<int>" if with_ids else "")
+    schema = "doc_id string, piece int, start long, length long, ids_crc32 long, task int, slot long" + (", ids array<int>" if with_ids else "")
     names = [f.split(" ")[0] for f in schema.split(", ")]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -80,9 +80,10 @@ def pieces(docs: DataFrame, size: int, json_path: str, ranks_path: str, with_ids
                 yield frame(rows, names)
 
     def frame(rows, names):
-        return pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+        return pd.DataFrame(rows, columns=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, schema)
+    # Ids travel as text, since pandas turns whole numbers beside nulls into floats.
+    return docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text").mapInPandas(cut, schema)
 
 
 def fit_patterns(histogram: np.ndarray, size: int, passes: int = FIT_PASSES) -> list[tuple[tuple[int, ...], int]]:
@@ -249,4 +250,4 @@ def pack(docs: DataFrame, size: int = SEQUENCE_TOKENS, json_path: str | None = N
 
     ranked = cut.join(base, ["length", "task"]).withColumn("rank", F.col("slot") + F.col("base"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema if f.name in names)
-    return ranked.select(*names, "rank").mapInPandas(place, f"{schema}, sequence_id long, offset long")
+    return ranked.select(*names, "rank").mapInPandas(place, f"{schema}, sequence_id long, offset long").withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -243,14 +243,15 @@ def score(docs: DataFrame, network: Network, threshold: float = THRESHOLD) -> Da
         for batch in batches:
             scores = network.score(list(batch["text"]))
             yield pd.DataFrame({
-                "doc_id": batch["doc_id"].astype("Int64"),
+                "doc_id": batch["doc_id"],
                 "held_out": batch["held_out"].astype(bool),
                 "score": scores,
                 "predicted": (scores >= threshold).astype("int32"),
             })
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold() == HELD_OUT, F.lit(False)).alias("held_out"), "text")
-    return rows.mapInPandas(rate, "doc_id long, held_out boolean, score double, predicted int")
+    # Ids travel as text, since pandas turns whole numbers beside nulls into floats.
+    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.coalesce(fold() == HELD_OUT, F.lit(False)).alias("held_out"), "text")
+    return rows.mapInPandas(rate, "doc_id string, held_out boolean, score double, predicted int").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stayline.llm import extraction, hnsw, language, mixing, multi_index, packing, quality, warc
+from stayline.llm import extraction, hnsw, language, mixing, multi_index, ngram_join, packing, quality, warc
 from stayline.llm.common import table
 from stayline.session import scratch_path
 
@@ -25,6 +25,11 @@ def op1_warc_transactions(spark, sf_dir):
     return warc.archived_pages(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
 
 
+@query
+def op2_prefix_tree_join(spark, sf_dir):
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 @query
 def op3_pattern_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
