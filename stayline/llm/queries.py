@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stayline.llm import extraction, hnsw, language, mixing, multi_index, ngram_join, packing, quality, warc
+from stayline.llm import extraction, hnsw, language, mixing, multi_index, ngram_join, packing, pii, quality, warc
 from stayline.llm.common import table
 from stayline.session import scratch_path
 
@@ -55,6 +55,11 @@ def op7_byte_cnn_quality(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op8_bootstrapped_pii(spark, sf_dir):
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_graph_neighbours(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
