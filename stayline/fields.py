@@ -104,4 +104,8 @@ BATCH_PROMPT = (
 PROBABILITY_COLUMNS = ["p_churn", "churn_probability", "probability"]
 EMAIL_PATTERN = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 TAG_PATTERN = r"<[^>]+>"
+NOT_AN_OBJECT = "Record must be a JSON object"
+EMPTY_BODY = "Request body is empty"
+BROKEN_BODY = "Request body must be valid JSON"
+NO_RECORDS = "Request body has no list of records"
 # --- End of fixed values ------------------------------------------------------

@@ -110,8 +110,8 @@ def chosen_draft(answer: Column, drafts: list[Column]) -> Column:
 def selected_tone(chosen: Column, drafts: Mapping[str, Column]) -> Column:
     """The tone whose draft equals the chosen text; serious when none does."""
     text = strip(chosen)
-    tone = F
-    for name in TONES:
+    tone = F.when(strip(drafts[TONES[0]]) == text, TONES[0])
+    for name in TONES[1:]:
         tone = tone.when(strip(drafts[name]) == text, name)
     return tone.otherwise(TONES[0])
 

@@ -13,16 +13,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayline.fields import LABEL_THRESHOLD, LIFT_FRACTIONS
-from stayline.operators.ranking import number_rows, running_totals
+from stayline.functions.numbers import finite
+from stayline.operators.ranking import number_rows, running_totals, same
 
 # Cuts are broadcast up to this many rows, joined by shuffle beyond.
 MAX_BROADCAST_ROWS = 100_000
 
 
 def score_histogram(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
-    """Rows and positives per score, best score first, with running and total counts."""
+    """Rows and positives per score, best score first, with running and total counts.
+
+    Rows without a finite score take no part in any metric.
+    """
     counted = (
-        df.select(*by, F.col(score).cast("double").alias("score"), F.col(label).cast("long").alias("label"))
+        df.filter(finite(F.col(score)).isNotNull())
+        .select(*by, F.col(score).cast("double").alias("score"), F.col(label).cast("long").alias("label"))
         .groupBy(*by, "score")
         .agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
     )
@@ -46,7 +51,8 @@ def _counts_at(threshold: float) -> dict[str, Column]:
 
 
 def confusion(df: DataFrame, label: str, score: str, threshold: float = LABEL_THRESHOLD, by: Sequence[str] = ()) -> DataFrame:
-    """tn, fp, fn, tp in one pass over the rows."""
+    """tn, fp, fn, tp in one pass over the rows with a finite score."""
+    df = df.filter(finite(F.col(score)).isNotNull())
     chosen = F.col(score) >= threshold
     positive = F.col(label) == 1
     return df.groupBy(*by).agg(
@@ -148,7 +154,8 @@ def lift_curve(
     n_open = open_cuts.count()
     if n_open:
         ranked = _ranked_hits(df, label, score, id_column, by, open_cuts, small=n_open <= MAX_BROADCAST_ROWS)
-        cuts = cuts.join(ranked, [*by, "no"], "left")
+        ranked, equal = same(cuts, ranked, [*by, "no"])
+        cuts = cuts.join(ranked, equal, "left")
         inside = F.coalesce(F.col("ranked_hits"), inside)
     found = cuts.withColumn("hits", F.col("pos_before") + inside)
     precision = ratio(F.col("hits"), F.col("size"))
@@ -172,19 +179,23 @@ def _ranked_hits(
     def side(table: DataFrame) -> DataFrame:
         return F.broadcast(table) if small else table
 
-    rows = df.select(
+    rows = df.filter(finite(F.col(score)).isNotNull()).select(
         *by,
         F.col(score).cast("double").alias("score"),
         F.col(label).cast("long").alias("label"),
         F.col(id_column).alias("id"),
     )
-    tied = rows.join(side(cuts.select(*key).distinct()), key, "left_semi")
+    keys, equal = same(rows, cuts.select(*key).distinct(), key)
+    tied = rows.join(side(keys), equal, "left_semi")
     ranked = number_rows(tied, *key, "id", name="place")
     starts = ranked.groupBy(*key).agg(F.min("place").alias("start"))
-    needs = cuts.select(*key, "no", "need").join(starts, key)
+    wanted = cuts.select(*key, "no", "need")
+    starts, equal = same(wanted, starts, key)
+    needs = wanted.join(starts, equal).select(*key, "no", "need", "start")
+    needs, equal = same(ranked, needs, key)
     # A tied row meets one row per k at most.
     return (
-        ranked.join(side(needs), key)
+        ranked.join(side(needs), equal)
         .filter(F.col("place") - F.col("start") < F.col("need"))
         .groupBy(*by, "no")
         .agg(F.sum("label").alias("ranked_hits"))

@@ -9,6 +9,7 @@ because a slice's content must not change when a later step reads it again.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +47,12 @@ def number_rows(df: DataFrame, *order: Column | str, name: str = "rank") -> Data
     )
 
 
+def same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> tuple[DataFrame, Column]:
+    """`right` with its key columns renamed, and the condition that the keys are equal, nulls included."""
+    renamed = right.withColumnsRenamed({n: f"_key_{n}" for n in names})
+    return renamed, reduce(lambda a, b: a & b, [left[n].eqNullSafe(renamed[f"_key_{n}"]) for n in names])
+
+
 def running_totals(
     df: DataFrame, order: Sequence[Column | str], sums: Sequence[str], by: Sequence[str] = ()
 ) -> DataFrame:
@@ -67,9 +74,10 @@ def running_totals(
         )
     )
     inside = W.partitionBy("_slice", *by).orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
+    run = placed.select("*", *[F.sum(c).over(inside).alias(f"_run_{c}") for c in sums])
+    offsets, equal = same(run, offsets, ["_slice", *by])
     return (
-        placed.select("*", *[F.sum(c).over(inside).alias(f"_run_{c}") for c in sums])
-        .join(offsets, ["_slice", *by])
+        run.join(offsets, equal)
         .select(
             *df.columns,
             *[(F.col(f"_run_{c}") + F.col(f"_before_{c}")).alias(f"cum_{c}") for c in sums],

@@ -16,10 +16,6 @@ from stayline.functions.text import normal_email, strip, strip_or_null
 from stayline.operators.ranking import number_rows
 from stayline.operators.validation import outreach_id
 
-# Up to this many rows every task keeps its own best n; more are found by a distributed sort.
-TOP_PER_TASK = 10_000
-MAX_SELECTED = 1_000_000
-
 
 def usable(results: DataFrame) -> DataFrame:
     """Rows with a finite probability or a non-blank action."""
@@ -89,10 +85,12 @@ def email_candidates(results: DataFrame, rules: CandidateRules = CandidateRules(
 
 
 def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
-    """The first n rows under `order`, with their rank."""
-    if n > MAX_SELECTED:
-        raise ValueError(f"cannot select more than {MAX_SELECTED} rows at once")
-    if n > TOP_PER_TASK:
+    """The first n rows under `order`, with their rank; any n.
+
+    Up to the contract's own cap every task keeps its best n and one window
+    ranks those; otherwise rows are ranked by the distributed sort.
+    """
+    if n > MAX_EMAILS:
         return number_rows(df, *order).filter(F.col("rank") <= n)
     # The window sees n rows at most.
     return df.orderBy(*order).limit(max(n, 0)).withColumn(

@@ -76,6 +76,8 @@ def find_cuts(
         raise ValueError(f"'{stratum}' has more than {MAX_STRATA} values; it is not a class label")
     if None in sizes:
         raise ValueError(f"'{stratum}' has rows without a value")
+    if not keyed.filter("id is null").isEmpty():
+        raise ValueError(f"'{id_column}' has rows without a value; they cannot be split reproducibly")
 
     keys, wanted = {}, []
     for value, buckets in sizes.items():

@@ -151,7 +151,7 @@ select concat('c-', cast(conv_id as varchar), '-', cast(turn as varchar)) as dra
   when turn % 4 = 1 and conv_id % 2 = 0 then concat('Subject: offer ', cast(conv_id as varchar), E'\n\n\n', text)
   when turn % 4 = 1 then concat('  SUBJECT : offer ', cast(conv_id as varchar), E'\r\n', text, E'\nsubject:again\n')
   when conv_id % 7 = 3 then concat(text, E'\n \n\n  Best regards & "thanks" \n \n') else text end as body
-from conversations where role = 'assistant'
+from conversations
 union all select concat('p-', cast(page_id as varchar)), html from pages
 )"""
 
@@ -160,7 +160,7 @@ select conv_id as group_id, draft_no,
  case when turn = 1 and conv_id % 5 = 0 then concat(E'Subject: hi\n', text)
   when turn = 2 and conv_id % 9 = 0 then concat('<b>', text, '</b>')
   when turn = 0 and conv_id % 11 = 0 then '   ' else text end as body
-from (select *, row_number() over (partition by conv_id order by turn) as draft_no from conversations) where draft_no <= 3
+from (select *, row_number() over (partition by conv_id order by turn) as draft_no from conversations)
 )"""
 
 # Lines of a text, stripped.
@@ -192,13 +192,13 @@ PROBLEM = f"""case when {strip('body')} = '' then 'empty' when contains(body, '<
  when {HAS_SUBJECT} then 'subject' else 'ok' end"""
 
 SETS = f"""sides as (
-select group_id, max(case when draft_no=1 then body end) as draft_1, max(case when draft_no=2 then body end) as draft_2,
+select group_id, count(*) as n_drafts, max(case when draft_no=1 then body end) as draft_1, max(case when draft_no=2 then body end) as draft_2,
  max(case when draft_no=3 then body end) as draft_3 from draft_groups group by group_id),
 draft_sets as (
-select sides.*, case when group_id % 8 = 0 then concat('  ', draft_2, E' \\n') when group_id % 8 = 1 then 'I choose Draft 3.'
+select group_id, draft_1, draft_2, draft_3, case when group_id % 8 = 0 then concat('  ', draft_2, E' \\n') when group_id % 8 = 1 then 'I choose Draft 3.'
  when group_id % 8 = 2 then 'option2 please' when group_id % 8 = 3 then 'the SECOND one'
  when group_id % 8 = 4 then 'Third is best, of 13 reasons' when group_id % 8 = 5 then '' when group_id % 8 = 6 then draft_3 end as answer
-from sides where draft_3 is not null),
+from sides where n_drafts = 3),
 normal as (
 select group_id, {strip("coalesce(answer, '')")} as said, {collapse(lines('draft_1'))} as d1, {collapse(lines('draft_2'))} as d2,
  {collapse(lines('draft_3'))} as d3 from draft_sets),

@@ -130,3 +130,20 @@ def test_shared_folder_comes_from_the_session():
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_folder(FakeSession("yarn"))
     assert session.shared_folder(FakeSession("local[2]"))
+
+
+def test_no_record_of_a_json_body_is_lost(spark, tmp_path):
+    lines = [
+        '{"request_id": 1, "records": [{"customer_id": "a", "CreditScore": true}, 5, "text", null, {"customer_id": "b", "CreditScore": "true"}]}',
+        '{"request_id": 2, "records": [{"customer_id": "c"',
+        "",
+        '{"request_id": 3}',
+        '{"request_id": 4, "records": [{"customer_id": "d", "CreditScore": 700, "Geography": "x\\"CreditScore\\": true"}]}',
+    ]
+    (tmp_path / "bodies.json").write_text("\n".join(lines) + "\n")
+    rows = {r.customer_id: r for r in files.read_record_bodies(spark, str(tmp_path)).collect()}
+    assert {k: (r.request_id, r.position, r.CreditScore) for k, r in rows.items()} == {"a": (1, 0, "1"), "b": (1, 4, "true"), "d": (4, 0, "700")}
+    errors = sorted((r.request_id or 0, -1 if r.position is None else r.position, r.message) for r in files.read_body_errors(spark, str(tmp_path)).collect())
+    assert [e for e in errors if e[0] == 1] == [(1, p, "Record must be a JSON object") for p in (1, 2, 3)]
+    assert [e[2] for e in errors if e[1] == -1 and e[0] == 3] == ["Request body has no list of records"]
+    assert sorted(e[2] for e in errors if e[1] == -1 and e[0] != 3) == ["Request body is empty", "Request body must be valid JSON"]

@@ -155,3 +155,17 @@ def test_partitioning_does_not_change_results(spark):
         results.append(([tuple(r) for r in found], tuple(metrics.metrics_report(df, "y", "s").first())))
     assert results[0][0] == results[1][0]
     assert results[0][1] == pytest.approx(results[1][1])
+
+
+def test_null_groups_and_scores_that_are_no_numbers(spark):
+    rows = [(g, i, float(i % 7) / 7, i % 2) for g in ("a", None) for i in range(40)]
+    odd = [(g, 100 + i, s, 1) for g in ("a", None) for i, s in enumerate((float("nan"), None, float("inf")))]
+    df = spark.createDataFrame(rows + odd, "g string, id long, score double, label int")
+    clean = spark.createDataFrame(rows, "g string, id long, score double, label int")
+    report = metrics.metrics_report(df, "label", "score", 0.5, ["g"])
+    assert sorted(map(str, report.collect())) == sorted(map(str, metrics.metrics_report(clean, "label", "score", 0.5, ["g"]).collect()))
+    assert {r.g for r in report.collect()} == {"a", None}
+    confused = metrics.confusion(df, "label", "score", 0.5, ["g"]).collect()
+    assert len(confused) == 2 and all(r.tn + r.fp + r.fn + r.tp == 40 for r in confused)
+    curve = metrics.lift_curve(df, "label", "score", "id", [0.1, 7], ["g"]).collect()
+    assert len(curve) == 4 and {r.g for r in curve} == {"a", None}

@@ -73,12 +73,10 @@ def test_targets_take_other_probability_columns(spark):
 
 def test_large_top_n_uses_the_distributed_sort(spark, monkeypatch):
     df = spark.range(500).select(F.col("id"), F.rand(2).alias("v"))
-    small = selection.top(df, 120, F.col("v"), F.col("id")).orderBy("rank").collect()
-    monkeypatch.setattr(selection, "TOP_PER_TASK", 50)
     large = selection.top(df, 120, F.col("v"), F.col("id")).orderBy("rank").collect()
+    monkeypatch.setattr(selection, "MAX_EMAILS", 120)
+    small = selection.top(df, 120, F.col("v"), F.col("id")).orderBy("rank").collect()
     assert [tuple(r) for r in large] == [tuple(r) for r in small] and len(large) == 120
-    with pytest.raises(ValueError):
-        selection.top(df, selection.MAX_SELECTED + 1, F.col("v"))
 
 
 def candidate_rows(spark):
@@ -157,3 +155,12 @@ def test_metadata_is_merged(spark):
     )
     got = [r["metadata"] for r in selection.targets(df, 0.5, 5).orderBy("rank").collect()]
     assert got == [{"seg": "x", "index": "0", "p_churn": "0.9"}, {"index": "1", "p_churn": "0.8"}]
+
+
+def test_any_number_of_candidates_may_be_asked_for(spark):
+    df = spark.range(300).select(
+        F.col("id").alias("index"), F.col("id").cast("string").alias("id"), F.lit(0.9).alias("p_churn"), F.lit("call").alias("recommended_action"), F.lit(1.0).alias("net_gain")
+    )
+    for n, found in ((2_000_000, 300), (120, 120), (50, 50), (0, 0)):
+        got = selection.email_candidates(df, selection.CandidateRules(max_candidates=n)).collect()
+        assert sorted(r["index"] for r in got) == list(range(found))
