@@ -376,6 +376,10 @@ ORACLE: dict[str, str] = {
         f"cells as (select row_index as place, {blanked(RAW_NAMES)} from raw_records where row_index % 41 <> 9)",
         body="select row_number() over (order by place) - 1 as row_index, * exclude (place) from cells",
     ),
+    "src_json_errors": """select what, count(*) as n from (
+select case c_custkey % 10 when 1 then 'Request body must be valid JSON' when 2 then 'Request body is empty'
+ when 3 then 'Request body has no list of records' else 'record, score 1' end as what from customer
+union all select 'Record must be a JSON object' from customer, range(3) where c_custkey % 10 = 4) group by what""",
     "src_batch_json": with_(
         BASE,
         RAW,

@@ -147,3 +147,24 @@ def test_no_record_of_a_json_body_is_lost(spark, tmp_path):
     assert [e for e in errors if e[0] == 1] == [(1, p, "Record must be a JSON object") for p in (1, 2, 3)]
     assert [e[2] for e in errors if e[1] == -1 and e[0] == 3] == ["Request body has no list of records"]
     assert sorted(e[2] for e in errors if e[1] == -1 and e[0] != 3) == ["Request body is empty", "Request body must be valid JSON"]
+
+
+def test_quotes_line_breaks_and_missing_marks(spark, tmp_path):
+    head = ",".join(REQUIRED_FIELDS)
+    cells = ['"A ""q"" B"' if n == "Geography" else '"x\ny"' if n == "Gender" else "1" for n in REQUIRED_FIELDS]
+    (tmp_path / "q.csv").write_text(head + "\n" + ",".join(cells) + "\n" + ",".join("2" for _ in REQUIRED_FIELDS) + "\n")
+    rows = files.read_record_csv(spark, str(tmp_path / "q.csv"), multiline=True).orderBy("row_index").collect()
+    assert [(r.row_index, r.Geography, r.Gender) for r in rows] == [(0, 'A "q" B', "x\ny"), (1, "2", "2")]
+
+
+def test_training_cells(spark, tmp_path):
+    def read(**odd):
+        cells = {**{n: "1" for n in FEATURES}, "Exited": "0", **odd}
+        (tmp_path / "t.csv").write_text(",".join(cells) + "\n" + ",".join(cells.values()) + "\n")
+        return files.read_training_csv(spark, str(tmp_path / "t.csv")).first()
+
+    row = read(Geography="NA", Balance="", Exited="1.0")
+    assert (row.Geography, row.Balance, row.Exited) == (None, None, 1)
+    for odd in ({"CreditScore": "abc"}, {"Exited": "yes"}):
+        with pytest.raises(Exception, match="must be a number"):
+            read(**odd)
