@@ -14,10 +14,8 @@ from pyspark.sql import functions as F
 
 from stayline.fields import LABEL_THRESHOLD, LIFT_FRACTIONS
 from stayline.functions.numbers import finite
-from stayline.operators.ranking import number_rows, running_totals, same
-
-# Cuts are broadcast up to this many rows, joined by shuffle beyond.
-MAX_BROADCAST_ROWS = 100_000
+from stayline.operators.ranking import running_totals, same
+from stayline.session import stored
 
 
 def score_histogram(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
@@ -150,10 +148,11 @@ def lift_curve(
     # One row per k and group. A cut through equal scores of both labels is open.
     is_open = (F.col("need") < F.col("n")) & (F.col("pos") > 0) & (F.col("pos") < F.col("n"))
     inside = F.when(F.col("need") == F.col("n"), F.col("pos")).when(F.col("pos") == F.col("n"), F.col("need")).otherwise(0)
+    # Written, so that Spark knows the size of both sides of the joins below.
+    cuts = stored(cuts, "cuts")
     open_cuts = cuts.filter(is_open)
-    n_open = open_cuts.count()
-    if n_open:
-        ranked = _ranked_hits(df, label, score, id_column, by, open_cuts, small=n_open <= MAX_BROADCAST_ROWS)
+    if not open_cuts.isEmpty():
+        ranked = _ranked_hits(df, label, score, id_column, by, stored(open_cuts, "open_cuts"))
         ranked, equal = same(cuts, ranked, [*by, "no"])
         cuts = cuts.join(ranked, equal, "left")
         inside = F.coalesce(F.col("ranked_hits"), inside)
@@ -170,15 +169,12 @@ def lift_curve(
     )
 
 
-def _ranked_hits(
-    df: DataFrame, label: str, score: str, id_column: str, by: Sequence[str], cuts: DataFrame, small: bool
-) -> DataFrame:
-    """Positives up to each open cut, by ranking the rows of the cut scores by id."""
-    key = [*by, "score"]
-
-    def side(table: DataFrame) -> DataFrame:
-        return F.broadcast(table) if small else table
+def _ranked_hits(df: DataFrame, label: str, score: str, id_column: str, by: Sequence[str], cuts: DataFrame) -> DataFrame:
+    """Positives up to each open cut, from one running sum over the rows of the cut scores in order of id.
 
+    A cut looks up the one row at its place, so however many rows share a score no join meets a hot key.
+    """
+    key = [*by, "score"]
     rows = df.filter(finite(F.col(score)).isNotNull()).select(
         *by,
         F.col(score).cast("double").alias("score"),
@@ -186,19 +182,14 @@ def _ranked_hits(
         F.col(id_column).alias("id"),
     )
     keys, equal = same(rows, cuts.select(*key).distinct(), key)
-    tied = rows.join(side(keys), equal, "left_semi")
-    ranked = number_rows(tied, *key, "id", name="place")
-    starts = ranked.groupBy(*key).agg(F.min("place").alias("start"))
+    tied = rows.join(keys, equal, "left_semi").withColumn("one", F.lit(1).cast("long"))
+    placed = running_totals(tied, [*key, "id"], ["one", "label"])
+    starts = placed.groupBy(*key).agg(F.min("cum_one").alias("start"), F.min(F.col("cum_label") - F.col("label")).alias("before"))
     wanted = cuts.select(*key, "no", "need")
     starts, equal = same(wanted, starts, key)
-    needs = wanted.join(starts, equal).select(*key, "no", "need", "start")
-    needs, equal = same(ranked, needs, key)
-    # A tied row meets one row per k at most.
-    return (
-        ranked.join(side(needs), equal)
-        .filter(F.col("place") - F.col("start") < F.col("need"))
-        .groupBy(*by, "no")
-        .agg(F.sum("label").alias("ranked_hits"))
+    places = wanted.join(starts, equal).select(*by, "no", (F.col("start") + F.col("need") - 1).alias("place"), "before")
+    return places.join(placed.select("cum_one", "cum_label"), F.col("place") == F.col("cum_one")).select(
+        *by, "no", (F.col("cum_label") - F.col("before")).alias("ranked_hits")
     )
 
 

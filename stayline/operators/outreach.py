@@ -7,7 +7,7 @@ one returns the prompt with its context, cleaned.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +18,8 @@ from stayline.operators.selection import target_metadata
 
 Writer = Callable[[DataFrame], DataFrame]
 
-# Recipients of one payload end up in one row.
-MAX_RECIPIENTS_PER_PAYLOAD = 10_000
+# A request is one row; longer lists become several requests, so that no row grows with the list.
+RECIPIENTS_PER_REQUEST = 1_000
 
 
 def normal_recipients(targets: DataFrame) -> DataFrame:
@@ -36,8 +36,12 @@ def normal_recipients(targets: DataFrame) -> DataFrame:
     ).withColumn("skipped", F.col("email").isNull())
 
 
+def request_number(order: str) -> Column:
+    return F.floor((F.col(order) - 1) / RECIPIENTS_PER_REQUEST)
+
+
 def batch_prompt(recipients: DataFrame, sender: str, company: str, template: str = BATCH_PROMPT, order: str = "position") -> DataFrame:
-    """One prompt for a capped list of recipients, ids in `order`."""
+    """One prompt per request of at most RECIPIENTS_PER_REQUEST recipients, ids in `order` (from 1 without gaps)."""
     listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col("id")))), lambda r: r["id"])
     values = {
         "from_name": F.lit(text.require_text(sender, "from_name")),
@@ -46,8 +50,9 @@ def batch_prompt(recipients: DataFrame, sender: str, company: str, template: str
         "recipient_ids": F.array_join("ids", ", "),
     }
     prompt = text.fill_template(template, values)
-    return recipients.agg(F.count("*").alias("recipient_count"), listed.alias("ids")).select(
-        "recipient_count", prompt.alias("message_prompt")
+    per_request = recipients.groupBy(request_number(order).alias("request_no"))
+    return per_request.agg(F.count("*").alias("recipient_count"), listed.alias("ids")).select(
+        "request_no", "recipient_count", prompt.alias("message_prompt")
     )
 
 
@@ -61,9 +66,10 @@ def payload(
     send_mode: str = SEND_MODE,
     order: str = "position",
 ) -> DataFrame:
-    """One request row with prompt, sender and the recipients that can be reached.
+    """Request rows with prompt, sender and the recipients that can be reached.
 
-    `recipients` must already be capped; no row comes out when none is reachable.
+    One row holds RECIPIENTS_PER_REQUEST recipients at most; a request in which
+    none is reachable is left out.
     """
     text.require_email(from_email, "from_email")
     entry = F.struct(
@@ -75,13 +81,16 @@ def payload(
     listed = F.transform(in_order, lambda e: e["recipient"])
     prompts = batch_prompt(recipients, sender, company, template, order)
     return (
-        recipients.agg(reachable.alias("entries"))
+        recipients.groupBy(request_number(order).alias("request_no"))
+        .agg(reachable.alias("entries"))
         .filter(F.size("entries") > 0)
+        .join(prompts, "request_no")
         .select(
+            "request_no",
             F.lit(company.strip()).alias("company_name"),
             F.lit(sender.strip()).alias("from_name"),
             listed.alias("recipients"),
-            prompts.select("message_prompt").scalar().alias("message_prompt"),
+            "message_prompt",
             F.lit(from_email).alias("from_email"),
             F.lit(tone_policy).alias("tone_policy"),
             F.lit(send_mode).alias("send_mode"),
@@ -136,12 +145,3 @@ def outbox(messages: DataFrame, from_email: str, html: bool = False) -> DataFram
         ).alias("content"),
     )
     return messages.select("id", "email", F.to_json(message).alias("message"))
-
-
-def tone_drafts(recipients: DataFrame, writers: Mapping[str, Writer], company: str, sender: str) -> DataFrame:
-    """One draft column per tone, subject lines removed."""
-    drafted = recipients
-    for tone, writer in writers.items():
-        written = writer(with_prompts(drafted, tone, company, sender))
-        drafted = written.withColumn(f"draft_{tone}", text.body_without_subject_lines(F.col("draft"))).drop("draft", "prompt")
-    return drafted

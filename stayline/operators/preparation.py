@@ -12,8 +12,7 @@ from pyspark.sql import Window as W
 from stayline.fields import CATEGORICAL_FEATURES, FEATURES, ID_COLUMNS, NUMERIC_FEATURES, REQUIRED_FIELDS
 from stayline.functions.numbers import finite
 from stayline.operators.quantiles import exact_medians
-
-MAX_CATEGORIES = 1_000
+from stayline.session import stored
 
 
 def missing_columns(df: DataFrame, required: Sequence[str] = REQUIRED_FIELDS) -> list[str]:
@@ -51,16 +50,14 @@ def sql_number(value: float) -> str:
     return f"{value!r}D"
 
 
-def sql_text(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 @dataclass(frozen=True)
 class Preparation:
     """What was learned from the training set, and how to apply it.
 
-    The steps are SQL expressions so that the same text works on a DataFrame
-    and inside a saved Spark ML model.
+    Numbers are filled and scaled by SQL expressions, levels are indexed and
+    encoded as sparse flags; the same stages work on a DataFrame and inside a
+    saved Spark ML model. A column may have any number of levels: like a
+    model's coefficients, their names are kept once on the driver.
     """
 
     medians: Mapping[str, float]
@@ -78,31 +75,41 @@ class Preparation:
         return f"coalesce(nanvl(`{name}`, CAST(NULL AS DOUBLE)), {sql_number(self.medians[name])})"
 
     def expressions(self, impute: bool = True) -> list[str]:
-        scaled = [
+        """The scaled numbers as x_ columns."""
+        return [
             f"({self.filled(c) if impute else f'`{c}`'} - {sql_number(self.means[c])})"
             f" / {sql_number(self.deviations[c] or 1.0)} AS `x_{c}`"
             for c in self.means
         ]
-        flags = [
-            f"CASE WHEN `{c}` = {sql_text(level)} THEN 1.0D ELSE 0.0D END AS `x_{c}_{i}`"
-            for c, levels in self.categories.items()
-            for i, level in enumerate(levels)
-        ]
-        return scaled + flags
 
-    @property
-    def matrix_columns(self) -> list[str]:
-        """Internal names of the prepared columns, in matrix order."""
-        flags = [f"x_{c}_{i}" for c, levels in self.categories.items() for i in range(len(levels))]
-        return [f"x_{c}" for c in self.means] + flags
+    def stages(self, impute: bool = True, column: str = "features") -> list:
+        """Fitted Spark ML stages from raw features to the model matrix row."""
+        from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
+        from pyspark.sql import SparkSession
+
+        statement = "SELECT *, " + ", ".join(self.expressions(impute) or ["1 AS `x_`"]) + " FROM __THIS__"
+        steps = [SQLTransformer(statement=statement)]
+        # A column without any level has no flags.
+        coded = [c for c, levels in self.categories.items() if levels]
+        flags = [f"x_{c}" for c in coded]
+        if coded:
+            # Unknown levels and nulls get the index behind the last level, whose flag is dropped: all zero.
+            indexers = [
+                StringIndexerModel.from_labels(self.categories[c], inputCol=c, outputCol=f"i_{c}", handleInvalid="keep")
+                for c in coded
+            ]
+            indexed = SparkSession.active().createDataFrame([], ", ".join(f"`{c}` string" for c in coded))
+            for indexer in indexers:
+                indexed = indexer.transform(indexed)
+            # Sizes come from the column attributes, so this fit runs no job.
+            encoder = OneHotEncoder(inputCols=[f"i_{c}" for c in coded], outputCols=flags, dropLast=True, handleInvalid="error")
+            steps += [*indexers, encoder.fit(indexed)]
+        inputs = [f"x_{c}" for c in self.means] + flags
+        return [*steps, VectorAssembler(inputCols=inputs, outputCol=column, handleInvalid="error")]
 
     def impute(self, df: DataFrame) -> DataFrame:
         return df.withColumns({c: F.expr(self.filled(c)) for c in self.means})
 
-    def apply(self, df: DataFrame, impute: bool = True) -> DataFrame:
-        """Add the prepared columns; without `impute` a missing number stays missing."""
-        return df.selectExpr("*", *self.expressions(impute))
-
     def scaled(self, df: DataFrame, impute: bool = True) -> DataFrame:
         """Numeric features replaced by their standardised values."""
         return df.withColumns(
@@ -124,11 +131,10 @@ class Preparation:
 
     def assemble(self, df: DataFrame, impute: bool = True, column: str = "features") -> DataFrame:
         """Add the model matrix row: scaled numbers, then one-hot flags."""
-        from pyspark.ml.feature import VectorAssembler
-
-        prepared = self.apply(df, impute)
-        assembled = VectorAssembler(inputCols=self.matrix_columns, outputCol=column).transform(prepared)
-        return assembled.drop(*self.matrix_columns)
+        made = df
+        for stage in self.stages(impute, column):
+            made = stage.transform(made)
+        return made.select(*df.columns, column)
 
 
 def fit_medians(train: DataFrame, columns: Sequence[str] = NUMERIC_FEATURES) -> dict[str, float]:
@@ -139,14 +145,18 @@ def fit_medians(train: DataFrame, columns: Sequence[str] = NUMERIC_FEATURES) ->
     return medians
 
 
-def fit_categories(train: DataFrame, columns: Sequence[str] = CATEGORICAL_FEATURES) -> dict[str, list[str]]:
-    """Sorted levels per column, from one pass. A column with very many levels is no category."""
+def category_levels(train: DataFrame, columns: Sequence[str] = CATEGORICAL_FEATURES) -> DataFrame:
+    """Every level of every column once, from one pass: feature, level."""
     cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("level")) for c in columns])
-    found = train.select(F.inline(cells)).filter(F.col("level").isNotNull()).distinct()
-    rows = found.limit(MAX_CATEGORIES + 1).collect()
-    if len(rows) > MAX_CATEGORIES:
-        raise ValueError(f"more than {MAX_CATEGORIES} levels in {', '.join(columns)}")
-    return {c: sorted(row["level"] for row in rows if row["feature"] == c) for c in columns}
+    return train.select(F.inline(cells)).filter(F.col("level").isNotNull()).distinct()
+
+
+def fit_categories(train: DataFrame, columns: Sequence[str] = CATEGORICAL_FEATURES) -> dict[str, list[str]]:
+    """Sorted levels per column. The model that follows holds a number for each, so all are on the driver."""
+    found: dict[str, list[str]] = {c: [] for c in columns}
+    for row in category_levels(train, columns).toLocalIterator():
+        found[row["feature"]].append(row["level"])
+    return {c: sorted(levels) for c, levels in found.items()}
 
 
 def fit_scaler(
@@ -181,11 +191,10 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def with_class_weights(df: DataFrame, label: str) -> DataFrame:
-    """Add the balanced weight of each row's class."""
-    rows = class_weights(df, label).limit(MAX_CATEGORIES + 1).collect()
-    if len(rows) > MAX_CATEGORIES:
-        raise ValueError(f"'{label}' is not a class label")
-    weight = F.lit(None).cast("double")
-    for row in rows:
-        weight = F.when(F.col(label) == F.lit(row[label]), row["weight"]).otherwise(weight)
-    return df.withColumn("weight", weight)
+    """Add the balanced weight of each row's class; null where the label is.
+
+    The weights are a written table: Spark knows its size, broadcasts it while
+    it is small and joins by shuffle beyond.
+    """
+    weights = stored(class_weights(df, label).select(F.col(label).alias("_class"), "weight"), "weights")
+    return df.join(weights, F.col(label) == F.col("_class"), "left").drop("_class")

@@ -200,4 +200,4 @@ def relisted(selected: DataFrame) -> DataFrame:
     """Selected targets in listing order: real ids by id, then idx- ids by position."""
     stand_in = F.col("id").startswith("idx-")
     order = [stand_in, F.when(~stand_in, F.col("id")), F.col("index"), F.col("id")]
-    return selected.withColumn("position", F.row_number().over(W.orderBy(*order)).cast("long"))
+    return number_rows(selected, *order, name="position")

@@ -1,26 +1,27 @@
 """Stratified splits and folds by the hash of an id.
 
 Rows are ordered by md5 of seed and id. Within each stratum the cut keys are
-found from a histogram of hash prefixes and an exact look at the one prefix a
-cut falls into, so assigning a row is a comparison with a constant: the table
-itself is never shuffled or sorted. Rows sharing an id stay together.
+found from a histogram of hash prefixes, a second one inside the few prefixes
+that hold a cut, and an exact look at the small buckets that remain. Cuts are
+a table with one row per stratum, so any number of strata will do. Assigning a
+row is a join with that table, which Spark broadcasts while it is small: the
+rows themselves are then neither shuffled nor sorted. Rows sharing an id stay
+together.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-# Leading hex digits of the hash: 4096 even buckets per stratum.
+from stayline.session import stored
+
+# Hex digits of the hash per histogram: 4,096 even buckets in a stratum, then 4,096 in each of those.
 PREFIX_DIGITS = 3
-MAX_STRATA = 100
 
 
 def hash_key(id_column: str, seed: int) -> Column:
@@ -29,112 +30,123 @@ def hash_key(id_column: str, seed: int) -> Column:
 
 @dataclass(frozen=True)
 class HashCuts:
-    """Cut keys per stratum, in rank order; None stands for a cut before the first row."""
+    """Cut keys per stratum, in a table (part, cuts); a cut without key lies before the first row."""
 
     id_column: str
     seed: int
     stratum: str | None
-    keys: dict
-
-    def passed(self) -> Column:
-        """How many cuts lie before the row."""
+    cuts: int
+    table: DataFrame
+
+    def place(self, df: DataFrame, name: str) -> DataFrame:
+        """Add how many cuts lie before the row; null in a stratum without cuts."""
+        if self.stratum is None:
+            # One row of cuts.
+            found = df.withColumn("_cuts", self.table.select("cuts").scalar())
+        else:
+            table = self.table.select(F.col("part").alias("_part"), F.col("cuts").alias("_cuts"))
+            found = df.join(table, F.col(self.stratum) == F.col("_part"), "left")
         key = hash_key(self.id_column, self.seed)
-        result = F.lit(None).cast("int")
-        for value, cuts in self.keys.items():
-            count = F.lit(0)
-            for cut in cuts:
-                if cut is None:
-                    count = count + 1
-                    continue
-                after = (key > cut[0]) | ((key == cut[0]) & (F.col(self.id_column) > F.lit(cut[1])))
-                count = count + F.when(after, 1).otherwise(0)
-            if self.stratum is None:
-                return count
-            result = F.when(F.col(self.stratum) == F.lit(value), count).otherwise(result)
-        return result
+        passed = F.when(F.col("_cuts").isNotNull(), F.lit(0))
+        for i in range(self.cuts):
+            cut = F.col("_cuts")[i]
+            beyond = (key > cut["key"]) | ((key == cut["key"]) & (F.col(self.id_column) > cut["id"]))
+            passed = passed + F.when(cut["key"].isNull() | beyond, 1).otherwise(0)
+        return found.select(*df.columns, passed.alias(name))
+
+
+def _holding(counts: DataFrame, wanted: DataFrame, group: list[str], bucket: str) -> DataFrame:
+    """The bucket of each wanted rank, with the rank left inside it."""
+    before = W.partitionBy(*group).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
+    below = F.coalesce(F.sum("n").over(before), F.lit(0))
+    inside = (F.col("need") > F.col("below")) & (F.col("need") <= F.col("below") + F.col("n"))
+    return (
+        counts.withColumn("below", below)
+        .join(wanted, group)
+        .filter(inside)
+        .withColumn("need", F.col("need") - F.col("below"))
+        .drop("below", "n")
+    )
 
 
 def find_cuts(
-    df: DataFrame, id_column: str, ranks: Callable[[int], list[int]], stratum: str | None, seed: int
+    df: DataFrame, id_column: str, ranks: Callable[[Column], list[Column]], stratum: str | None, seed: int
 ) -> HashCuts:
     """Find the keys at the given ranks; `ranks` maps a stratum's size to the wanted ranks.
 
-    Two passes over id and label: one counts hash prefixes, the other ranks the
-    keys of the few prefixes that hold a cut. Between them only counts reach the
-    driver, 4,096 per class.
+    Two passes over id and label: one counts hash prefixes, the other keeps the
+    rows of the prefixes that hold a cut, a 4,096th of the stratum per cut.
+    A window sees 4,096 counts or one row in 16 million of a stratum.
     """
     part = F.lit("all") if stratum is None else F.col(stratum)
     keyed = df.select(
         part.alias("part"), F.col(id_column).alias("id"), hash_key(id_column, seed).alias("key")
-    ).withColumn("prefix", F.substring("key", 1, PREFIX_DIGITS))
-
-    sizes: dict = {}
-    counted = keyed.groupBy("part", "prefix").agg(F.count("*").alias("n"))
-    for row in counted.limit(MAX_STRATA * 16**PREFIX_DIGITS + 1).collect():
-        sizes.setdefault(row["part"], {})[row["prefix"]] = row["n"]
-    if len(sizes) > MAX_STRATA:
-        raise ValueError(f"'{stratum}' has more than {MAX_STRATA} values; it is not a class label")
-    if None in sizes:
+    ).withColumn("coarse", F.substring("key", 1, PREFIX_DIGITS))
+    counts = stored(
+        keyed.groupBy("part", "coarse").agg(F.count("*").alias("n"), F.count_if(F.col("id").isNull()).alias("nulls")),
+        "prefixes",
+    )
+    lost = counts.agg(F.sum("nulls").alias("ids"), F.count_if(F.col("part").isNull()).alias("parts")).first()
+    if lost["parts"]:
         raise ValueError(f"'{stratum}' has rows without a value")
-    if not keyed.filter("id is null").isEmpty():
+    if lost["ids"]:
         raise ValueError(f"'{id_column}' has rows without a value; they cannot be split reproducibly")
 
-    keys, wanted = {}, []
-    for value, buckets in sizes.items():
-        targets = ranks(sum(buckets.values()))
-        keys[value] = [None] * len(targets)
-        for cut, rank in enumerate(targets):
-            below = 0
-            for prefix in sorted(buckets):
-                if below < rank <= below + buckets[prefix]:
-                    wanted.append((value, cut, prefix, rank - below))
-                below += buckets[prefix]
-    if not wanted:
-        return HashCuts(id_column, seed, stratum, keys)
-
-    def holds(value, prefix: str) -> Column:
-        return (F.col("part") == F.lit(value)) & (F.col("prefix") == prefix)
-
-    by_key = W.partitionBy("part", "prefix").orderBy("key", "id").rowsBetween(W.unboundedPreceding, 0)
-    ranked = (
-        keyed.filter(reduce(or_, [holds(value, prefix) for value, _, prefix, _ in wanted]))
-        .groupBy("part", "prefix", "key", "id")
+    sizes = counts.groupBy("part").agg(F.sum("n").alias("size"))
+    needs = ranks(F.col("size"))
+    wanted = sizes.select("part", F.posexplode(F.array(*needs)).alias("cut", "need"))
+    coarse = stored(_holding(counts.drop("nulls"), wanted, ["part"], "coarse"), "coarse")
+    near = stored(
+        keyed.join(coarse.select("part", "coarse").distinct(), ["part", "coarse"], "left_semi")
+        .groupBy("part", "coarse", "key", "id")
         .agg(F.count("*").alias("n"))
-        .withColumn("cum", F.sum("n").over(by_key))
+        .withColumn("fine", F.substring("key", PREFIX_DIGITS + 1, PREFIX_DIGITS)),
+        "near",
+    )
+    fine = _holding(
+        near.groupBy("part", "coarse", "fine").agg(F.sum("n").alias("n")), coarse, ["part", "coarse"], "fine"
+    )
+    bucket = ["part", "coarse", "fine"]
+    by_key = W.partitionBy(*bucket).orderBy("key", "id").rowsBetween(W.unboundedPreceding, 0)
+    reached = F.sum("n").over(by_key)
+    hits = (
+        near.withColumn("cum", reached)
+        .join(fine, bucket)
+        .filter((F.col("cum") >= F.col("need")) & (F.col("cum") - F.col("n") < F.col("need")))
+        .select("part", "cut", "key", "id")
+    )
+    cuts = (
+        wanted.select("part", "cut")
+        .join(hits, ["part", "cut"], "left")
+        .groupBy("part")
+        .agg(F.array_sort(F.collect_list(F.struct("cut", "key", "id"))).alias("cuts"))
     )
-    hits = [
-        F.when(holds(value, prefix) & (F.col("cum") >= need) & (F.col("cum") - F.col("n") < need), i)
-        for i, (value, _, prefix, need) in enumerate(wanted)
-    ]
-    found = ranked.withColumn("hits", F.array_compact(F.array(*hits))).filter(F.size("hits") > 0)
-    for row in found.select("hits", "key", "id").collect():
-        for hit in row["hits"]:
-            value, cut, _, _ = wanted[hit]
-            keys[value][cut] = (row["key"], row["id"])
-    return HashCuts(id_column, seed, stratum, keys)
+    return HashCuts(id_column, seed, stratum, len(needs), stored(cuts, "cuts"))
 
 
 def split_cuts(
     df: DataFrame, id_column: str, label: str | None = None, test_share: float = 0.2, seed: int = 42
 ) -> HashCuts:
     """Where the test set ends: `test_share` of every class, or of the table without a label."""
-    return find_cuts(df, id_column, lambda size: [math.floor(test_share * size + 0.5)], label, seed)
+    return find_cuts(df, id_column, lambda size: [F.floor(size * F.lit(test_share) + 0.5)], label, seed)
 
 
 def with_split(df: DataFrame, cuts: HashCuts) -> DataFrame:
-    return df.withColumn("split", F.when(cuts.passed() == 0, "test").otherwise("train"))
+    placed = cuts.place(df, "split")
+    return placed.withColumn("split", F.when(F.col("split") == 0, "test").otherwise("train"))
 
 
 def train_test(df: DataFrame, cuts: HashCuts) -> tuple[DataFrame, DataFrame]:
-    return df.filter(cuts.passed() == 1), df.filter(cuts.passed() == 0)
+    placed = cuts.place(df, "_passed")
+    return placed.filter("_passed = 1").drop("_passed"), placed.filter("_passed = 0").drop("_passed")
 
 
 def fold_cuts(df: DataFrame, id_column: str, label: str | None, folds: int = 3, seed: int = 42) -> HashCuts:
     """Where each fold but the last ends; sizes within a class differ by one at most."""
     return find_cuts(
-        df, id_column, lambda size: [-(-size * j // folds) for j in range(1, folds)], label, seed
+        df, id_column, lambda size: [F.floor((size * j + (folds - 1)) / folds) for j in range(1, folds)], label, seed
     )
 
 
 def with_folds(df: DataFrame, cuts: HashCuts) -> DataFrame:
-    return df.withColumn("fold", cuts.passed().cast("int"))
+    return cuts.place(df, "fold")

@@ -76,7 +76,8 @@ def src_batch_csv(spark, sf_dir):
 def src_batch_json(spark, sf_dir):
     path = scratch_path(spark, "bodies")
     files.record_bodies(t.raw_records(spark, sf_dir)).write.text(path)
-    return files.with_position(files.read_record_bodies(spark, path, extra=("customer_id", "email")))
+    records = files.read_record_bodies(spark, path, extra=("customer_id", "email"))
+    return files.with_position(records, files.body_offsets(spark, path))
 
 
 @query
@@ -866,7 +867,7 @@ def txt_html_body(spark, sf_dir):
 @query
 def txt_prompt_batch(spark, sf_dir):
     listed = outreach.normal_recipients(selection.relisted(top_targets(spark, sf_dir)))
-    return outreach.batch_prompt(listed, SENDER, COMPANY)
+    return outreach.batch_prompt(listed, SENDER, COMPANY).drop("request_no")
 
 
 @query
@@ -897,7 +898,7 @@ def out_recipients(spark, sf_dir):
 def out_payload(spark, sf_dir):
     chosen = selection.targets(t.batch_results(spark, sf_dir), 0.6, 50, require_email=False)
     listed = freeze(outreach.normal_recipients(selection.relisted(chosen)))
-    request = outreach.payload(listed, SENDER, COMPANY, from_email=ADDRESS)
+    request = outreach.payload(listed, SENDER, COMPANY, from_email=ADDRESS).drop("request_no")
     return request.select(
         "company_name", "from_name", "message_prompt", "from_email", "tone_policy", "send_mode", F.posexplode("recipients").alias("place", "r")
     ).select(

@@ -59,10 +59,11 @@ def test_record_csv_failures(spark, tmp_path):
 def test_json_bodies(spark, tmp_path):
     body = '{"request_id": 4, "records": [{"row_id": 42, "Age": 41.5, "HasCrCard": true, "Gender": null}, {"Age": "bad"}], "options": {"mode": "partial"}}'
     write(tmp_path / "j", "x.json", [body])
-    rows = files.with_position(files.read_record_bodies(spark, str(tmp_path / "j")), 100).orderBy("row_index").collect()
+    path = str(tmp_path / "j")
+    rows = files.with_position(files.read_record_bodies(spark, path), files.body_offsets(spark, path)).orderBy("row_index").collect()
     assert [(r["row_index"], r["row_id"], r["Age"], r["HasCrCard"], r["Gender"], r["mode"]) for r in rows] == [
-        (400, "42", "41.5", "1", None, "partial"),
-        (401, None, "bad", None, None, "partial"),
+        (0, "42", "41.5", "1", None, "partial"),
+        (1, None, "bad", None, None, "partial"),
     ]
 
 
@@ -157,6 +158,30 @@ def test_quotes_line_breaks_and_missing_marks(spark, tmp_path):
     assert [(r.row_index, r.Geography, r.Gender) for r in rows] == [(0, 'A "q" B', "x\ny"), (1, "2", "2")]
 
 
+def test_positions_count_what_the_bodies_hold(spark, tmp_path):
+    def body(request, *names):
+        return '{"request_id": %d, "records": [%s]}' % (request, ", ".join('{"customer_id": "%s"}' % n if n else "7" for n in names))
+
+    write(tmp_path / "p", "x.json", [body(9, "f", "g"), body(2, "a", "b", None, "d"), "{", body(5, "e"), body(7)])
+    path = str(tmp_path / "p")
+    rows = files.with_position(files.read_record_bodies(spark, path), files.body_offsets(spark, path)).collect()
+    assert {r.customer_id: r.row_index for r in rows} == {"a": 0, "b": 1, "d": 3, "e": 4, "f": 5, "g": 6}
+
+
+def test_long_lines_fail_and_short_ones_end_in_missing_cells(spark, tmp_path):
+    n = len(REQUIRED_FIELDS)
+
+    def read(line):
+        (tmp_path / "l.csv").write_text(",".join(REQUIRED_FIELDS) + "\n" + line + "\n")
+        return files.read_record_csv(spark, str(tmp_path / "l.csv")).first()
+
+    short = read(",".join('"a,b"' for _ in range(n - 1)))
+    assert short[REQUIRED_FIELDS[0]] == "a,b" and short[REQUIRED_FIELDS[-1]] is None
+    for line in (",".join("1" for _ in range(n + 1)), ",".join("1" for _ in range(n)) + ","):
+        with pytest.raises(Exception, match="more cells than columns"):
+            read(line)
+
+
 def test_training_cells(spark, tmp_path):
     def read(**odd):
         cells = {**{n: "1" for n in FEATURES}, "Exited": "0", **odd}

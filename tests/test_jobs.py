@@ -129,8 +129,29 @@ def test_bad_config():
         jobs.BatchConfig(" ", "Me")
     with pytest.raises(ValueError, match="from_email"):
         jobs.BatchConfig("Co", "Me", "nope")
-    with pytest.raises(ValueError, match="max_targets"):
-        jobs.BatchConfig("Co", "Me", max_targets=10**9)
+
+
+def test_settings_that_cannot_be_used_are_error_rows(spark):
+    rows = batch(spark, (0, "a", "a@x.org", 0.9), (1, "b", "b@x.org", None))
+    good = {"company_name": "Co", "from_name": "Me", "max_targets": "5", "from_email": " ", "recommended_actions": [" "]}
+    assert jobs.outreach_from_batch(rows, good).summary.first()["selected"] == 1
+    for odd, stage in (({"from_name": " "}, "config"), ({"max_targets": "many"}, "config"), ({"threshold": "nan"}, "target_selection")):
+        report = jobs.outreach_from_batch(rows, {**good, **odd}, "odd")
+        assert report.request is None and {r["stage"] for r in report.errors.collect()} == {stage, "batch"}
+        summary = report.summary.first()
+        assert (summary["status"], summary["total_rows"], summary["valid_predictions"], summary["selected"]) == ("error", 2, 2, 0)
+
+
+def test_long_lists_become_several_requests(spark):
+    rows = spark.range(2500).select(
+        F.col("id").alias("index"), F.format_string("c%05d", "id").alias("id"), F.lit("a@x.org").alias("email"), F.lit("x").alias("name"), F.lit(0.9).alias("p_churn"), F.lit(OFFER_CALL).alias("recommended_action"),
+    )
+    report = jobs.outreach_from_batch(rows, jobs.BatchConfig("Co", "Me", max_targets=20_000))
+    requests = report.request.orderBy("request_no").collect()
+    assert [len(r["recipients"]) for r in requests] == [1000, 1000, 500]
+    assert [i for r in requests for i in r["target_ids"]] == [f"c{i:05d}" for i in range(2500)]
+    summary = report.summary.first()
+    assert (summary["selected"], summary["drafted"], summary["status"]) == (2500, 2500, "ok")
 
 
 def test_outreach_from_records(spark, sf_dir):

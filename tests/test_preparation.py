@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -80,16 +81,25 @@ def test_unknown_category_is_all_zero(spark):
     assert all(sum(r) == 0 for r in rows)
 
 
-def test_quoted_levels_survive_sql(spark):
-    df = customers(spark).withColumn("Gender", F.lit("it's \\ odd"))
+def test_quoted_levels_survive_the_model(spark, tmp_path):
+    df = customers(spark).withColumn("Gender", F.lit("it's \\ odd, `or` \"so\""))
     prepared = preparation.fit_preparation(df)
-    assert prepared.apply(df).select(F.sum("x_Gender_0")).first()[0] == 60
+    PipelineModel(stages=prepared.stages()).save(str(tmp_path / "prepared"))
+    loaded = PipelineModel.load(str(tmp_path / "prepared")).transform(df)
+    for made in (prepared.assemble(df), loaded):
+        assert made.select(F.sum(vector_to_array("features")[11])).first()[0] == 60
 
 
-def test_too_many_levels(spark):
-    df = spark.range(2000).select(F.col("id").cast("string").alias("Geography"), F.lit("x").alias("Gender"))
-    with pytest.raises(ValueError, match="levels"):
-        preparation.fit_categories(df)
+def test_many_levels(spark):
+    many = spark.range(1200).select(F.col("id").cast("string").alias("Geography"), F.lit("x").alias("Gender"))
+    levels = preparation.fit_categories(many)
+    assert len(levels["Geography"]) == 1200 and levels["Gender"] == ["x"]
+    prepared = preparation.Preparation({}, {}, {}, levels)
+    odd = many.union(spark.createDataFrame([("nowhere", "x"), (None, None)], "Geography string, Gender string"))
+    flags = prepared.assemble(odd).select("Geography", vector_to_array("features").alias("x"))
+    wide = flags.select("Geography", F.size("x").alias("n"), F.aggregate(F.slice("x", 1, 1200), F.lit(0.0), lambda a, b: a + b).alias("s"))
+    assert {(r["n"], r["s"]) for r in wide.filter("try_cast(Geography as int) >= 0").collect()} == {(1201, 1.0)}
+    assert [r["s"] for r in wide.filter("coalesce(Geography, 'nowhere') = 'nowhere'").collect()] == [0.0, 0.0]
 
 
 def test_columns(spark):
@@ -106,6 +116,8 @@ def test_class_weights(spark):
     df = spark.createDataFrame([(1,)] * 20 + [(0,)] * 80, "y int")
     assert {r["y"]: r["weight"] for r in preparation.class_weights(df, "y").collect()} == {1: 2.5, 0: 0.625}
     assert preparation.with_class_weights(df, "y").agg(F.sum("weight")).first()[0] == pytest.approx(100)
+    many = spark.range(3000).select((F.col("id") % 1500).alias("y"))
+    assert {r["weight"] for r in preparation.with_class_weights(many, "y").collect()} == {1.0}
 
 
 def brute_ranks(ids, seed=42):
@@ -128,15 +140,19 @@ def test_split_and_folds_by_brute_force(spark, n):
     assert {i for i, s in whole.items() if s == "test"} == set(brute_ranks(range(n))[: round(0.2 * n)])
 
 
-def test_split_keeps_copies_together_and_rejects_non_labels(spark):
+def test_split_keeps_copies_together_and_takes_many_classes(spark):
     df = spark.createDataFrame([(i % 40, 0) for i in range(400)] + [(5, 0)] * 300, "id long, y int")
     marked = splits.with_split(df, splits.split_cuts(df, "id", "y"))
     assert marked.select("id", "split").distinct().count() == 40
-    with pytest.raises(ValueError, match="class label"):
-        splits.split_cuts(spark.range(1500).withColumn("y", F.col("id")), "id", "y")
+    many = spark.range(1500).select("id", (F.col("id") % 150).alias("y"))
+    sizes = splits.with_split(many, splits.split_cuts(many, "id", "y")).filter("split = 'test'").groupBy("y").count()
+    assert sizes.count() == 150 and {r["count"] for r in sizes.collect()} == {2}
 
 
 def test_split_refuses_rows_without_label(spark):
     df = spark.createDataFrame([(1, 0), (2, None)], "id long, y int")
     with pytest.raises(ValueError, match="without a value"):
         splits.split_cuts(df, "id", "y")
+    lost = spark.createDataFrame([(1, 0), (None, 0)], "id long, y int")
+    with pytest.raises(ValueError, match="'id' has rows without a value"):
+        splits.split_cuts(lost, "id", "y")
