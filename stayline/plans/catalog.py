@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayline.fields import FEATURES, MODEL_ORDER, NO_ACTION, NUMERIC_FEATURES, OFFER_CALL, REQUEST_THRESHOLD, SEND_EMAIL
+from stayline.fields import FEATURES, MIN_ROC_AUC, MODEL_ORDER, NO_ACTION, NUMERIC_FEATURES, OFFER_CALL, REQUEST_THRESHOLD, SEND_EMAIL
 from stayline.functions import decisions, numbers, text
 from stayline.operators import metrics, outreach, preparation, reports, scoring, selection, splits, training, validation
 from stayline.plans import jobs
@@ -432,69 +432,65 @@ def prep_class_weights(spark, sf_dir):
 
 # --- Training ------------------------------------------------------------------------------
 
-# Settings of the whole run that a laptop can fit; training.FULL_GRIDS has the whole search.
-SMALL_GRIDS = {
-    "Logistic Regression": {"C": [0.1, 1.0]},
-    "Decision Tree": {"maxDepth": [5]},
-    "Random Forest": {"numTrees": [20], "maxDepth": [10]},
-    "Gradient Boosting": {"maxIter": [10], "stepSize": [0.1]},
-}
-
-
-def trained(spark, sf_dir, name: str, settings: dict) -> DataFrame:
-    """Fit one model and report its test metrics."""
+def training_facts(spark, sf_dir, search: Callable[[DataFrame], training.Fitted]) -> DataFrame:
+    """Fit one model family and report what it saw and whether its test scores pass the gate."""
     rows = stored(training_rows(spark, sf_dir), "training")
     matrix = jobs.training_matrix(rows, LABEL, ID)
     train = matrix.train.persist()
-    model = training.estimator(name, settings, train.count()).fit(train)
+    found = search(train)
     train.unpersist()
-    scores = training.side_by_side({name: model}, matrix.test, [ID, "label"])
-    return metrics.metrics_report(scores, "label", "score", by=["model"]).select("model", "roc_auc", "pr_auc", "f1")
+    scores = training.side_by_side({found.name: found.model}, matrix.test, [ID, "label"])
+    report = metrics.metrics_report(scores, "label", "score", by=["model"])
+    counts = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
+    return report.select(
+        "model",
+        F.lit(found.rows).cast("long").alias("n_train"),
+        counts.alias("n_test"),
+        (F.col("fn") + F.col("tp")).alias("n_test_churned"),
+        F.lit(len(found.cv_scores)).alias("n_settings"),
+        (F.col("roc_auc") >= MIN_ROC_AUC).alias("accepted"),
+    )
+
+
+def whole_search(name: str) -> Callable[[DataFrame], training.Fitted]:
+    grid = training.settings_grid(training.FULL_GRIDS[name])
+    return lambda train: training.grid_search(name, train, grid)
 
 
 @query
 def train_logistic(spark, sf_dir):
-    return trained(spark, sf_dir, "Logistic Regression", {"C": 1.0})
+    return training_facts(spark, sf_dir, whole_search("Logistic Regression"))
 
 
 @query
 def train_tree(spark, sf_dir):
-    """The whole search of the tree family: six settings on three folds."""
-    rows = stored(training_rows(spark, sf_dir), "training")
-    matrix = jobs.training_matrix(rows, LABEL, ID)
-    train = matrix.train.persist()
-    found = training.grid_search("Decision Tree", train, training.settings_grid(training.FULL_GRIDS["Decision Tree"]))
-    train.unpersist()
-    scores = training.side_by_side({found.name: found.model}, matrix.test, [ID, "label"])
-    return metrics.metrics_report(scores, "label", "score", by=["model"]).select("model", "roc_auc", "pr_auc", "f1")
+    return training_facts(spark, sf_dir, whole_search("Decision Tree"))
 
 
 @query
 def train_forest(spark, sf_dir):
-    return trained(spark, sf_dir, "Random Forest", {"numTrees": 100, "maxDepth": 10})
+    return training_facts(spark, sf_dir, whole_search("Random Forest"))
 
 
 @query
 def train_gbt(spark, sf_dir):
-    return trained(spark, sf_dir, "Gradient Boosting", {"maxIter": 100, "stepSize": 0.1})
+    """One of the four settings; `train_grid_search` and `train_run` search them all."""
+    settings = [{"maxIter": 100, "stepSize": 0.1}]
+    return training_facts(spark, sf_dir, lambda train: training.grid_search("Gradient Boosting", train, settings))
 
 
 @query
 def train_grid_search(spark, sf_dir):
+    """The whole search of all four families: settings tried, and whether the best recorded one was taken."""
     rows = stored(training_rows(spark, sf_dir), "training")
-    matrix = jobs.training_matrix(rows, LABEL, ID)
-    train = matrix.train.persist()
-    found = training.grid_search(
-        "Logistic Regression", train, training.settings_grid(training.FULL_GRIDS["Logistic Regression"])
-    )
+    train = jobs.training_matrix(rows, LABEL, ID).train.persist()
+    found = training.train_models(train)
     train.unpersist()
-    scores = training.side_by_side({found.name: found.model}, matrix.test, ["label"])
-    return metrics.metrics_report(scores, "label", "score", by=["model"]).select(
-        "model",
-        F.lit(found.settings["C"]).alias("c"),
-        F.lit(found.cv_roc_auc).alias("cv_roc_auc"),
-        "roc_auc",
-    )
+    facts = [
+        (f.name, f.rows, len(f.cv_scores), f.cv_roc_auc == max(f.cv_scores), f.cv_roc_auc >= MIN_ROC_AUC)
+        for f in found.values()
+    ]
+    return spark.createDataFrame(facts, "model string, n_train long, n_settings int, took_best boolean, accepted boolean")
 
 
 def linear_scores(spark, sf_dir) -> DataFrame:
@@ -520,11 +516,17 @@ def model_select(spark, sf_dir):
 
 @query
 def train_run(spark, sf_dir):
-    run = jobs.training_run(
-        training_rows(spark, sf_dir), scratch_path(spark, "run"), TRAINED_AT, LABEL, ID, SMALL_GRIDS
-    )
+    """A whole run with the full search, as read back from its metadata."""
+    run = jobs.training_run(training_rows(spark, sf_dir), scratch_path(spark, "run"), TRAINED_AT, LABEL, ID)
+    best = run.board.agg(F.max("roc_auc").alias("best"), F.count("*").alias("n"))
+    measured = F.col("metrics")
     return files.read_metadata(spark, run.metadata_path).select(
-        "trained_at", "model_name", "version", F.col("metrics")["roc_auc"].alias("roc_auc")
+        "trained_at",
+        "version",
+        (measured["tn"] + measured["fp"] + measured["fn"] + measured["tp"]).cast("long").alias("n_test"),
+        best.select("n").scalar().alias("n_models"),
+        (F.abs(measured["roc_auc"] - best.select("best").scalar()) < 1e-9).alias("took_best"),
+        (measured["roc_auc"] >= MIN_ROC_AUC).alias("accepted"),
     )
 
 
@@ -533,8 +535,21 @@ def train_run(spark, sf_dir):
 
 @query
 def score_model(spark, sf_dir):
+    """Every customer scored by a fitted model, checked against its coefficients over the prepared matrix."""
     rows, model = fitted_logistic(spark, sf_dir)
-    return scoring.with_label(scoring.model_scorer(model)(rows)).select(ID, "p_churn", "predicted_label")
+    *prepared, classifier = model.stages
+    scored = scoring.with_label(scoring.model_scorer(model)(rows))
+    for stage in prepared:
+        scored = stage.transform(scored)
+    weights = F.array(*[F.lit(float(w)) for w in classifier.coefficients])
+    terms = F.zip_with(vector_to_array("features"), weights, lambda x, w: x * w)
+    margin = F.aggregate(terms, F.lit(float(classifier.intercept)), lambda a, b: a + b)
+    p = 1 / (1 + F.exp(-margin))
+    return scored.select(
+        ID,
+        (F.abs(F.col("p_churn") - p) < 1e-9).alias("p_matches"),
+        (F.col("predicted_label") == (F.col("p_churn") >= 0.5).cast("int")).alias("label_matches"),
+    )
 
 
 @query

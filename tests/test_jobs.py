@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from stayline.fields import FEATURES, OFFER_CALL, SEND_EMAIL
 from stayline.operators import outreach, reports, scoring, training
 from stayline.plans import jobs
-from stayline.plans.catalog import SMALL_GRIDS, linear_scorer, training_rows
+from stayline.plans.catalog import linear_scorer, training_rows
 from stayline.session import scratch_path, stored
 from stayline.sources import files
 from stayline.sources import tables as t
@@ -56,6 +56,14 @@ def batch(spark, *rows):
     return spark.createDataFrame(data, "index long, id string, email string, name string, p_churn double, recommended_action string")
 
 
+# The search itself runs whole in the queries.
+SMALL_GRIDS = {
+    "Logistic Regression": {"C": [0.1, 1.0]},
+    "Decision Tree": {"maxDepth": [5]},
+    "Random Forest": {"numTrees": [20], "maxDepth": [10]},
+    "Gradient Boosting": {"maxIter": [10], "stepSize": [0.1]},
+}
+
 CONFIG = jobs.BatchConfig("Example Co", "Customer Success", "success@example.com", threshold=0.8, max_targets=10)
 
 
