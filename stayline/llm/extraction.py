@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import html as entities
+import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -42,25 +43,26 @@ MARK = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 DEPTH = 30  # levels that a path tells apart; deeper elements share the path of that level
 SHARE = 0.1  # of a host's pages that a template token occurs on at least
+NAMED_CHROME, TAG_CHROME = 1, 2  # an element around is no article text by its class, id or role; by its tag
 
 
 class Element:
     __slots__ = ("tag", "path", "chrome", "article")
 
-    def __init__(self, tag: str, path: str, chrome: bool, article: bool):
+    def __init__(self, tag: str, path: str, chrome: int, article: bool):
         self.tag, self.path, self.chrome, self.article = tag, path, chrome, article
 
 
-def blocks(page: str) -> tuple[list[tuple[str, bool, str, int]], Counter]:
+def blocks(page: str) -> tuple[list[tuple[str, int, str, int]], Counter]:
     """Text blocks of a page in order, and how often every element path opens.
 
-    A block is (path of its element, whether an element around it is named as
-    no article text, text with references decoded and white space as single
-    blanks, how many of its characters are links). Unclosed elements are closed
+    A block is (path of its element, 0 or what says that it is no article text:
+    NAMED_CHROME or TAG_CHROME, text with references decoded and white space as
+    single blanks, how many of its characters are links). Unclosed elements are closed
     as browsers do for paragraphs, list items and table cells.
     """
     found, opened = [], Counter({"": 1})
-    root = Element("", "", False, False)
+    root = Element("", "", 0, False)
     stack, words, links, in_link = [root], [], 0, False
 
     def flush():
@@ -120,9 +122,12 @@ def blocks(page: str) -> tuple[list[tuple[str, bool, str, int]], Counter]:
         above = stack[-1]
         named = {name.lower(): (a or b or c) for name, a, b, c in NAMED.findall(mark[3])} if mark[3] else {}
         names = set(re.split(r"[^a-z0-9]+", " ".join(named.values()).lower()))
-        head = tag == "header" or bool(names & HEAD_NAMES)
         article = above.article or tag in ("article", "main")
-        chrome = above.chrome or tag in CHROME_TAGS or bool(names & CHROME_NAMES and tag not in ("body", "html", "article", "main")) or (head and not article)
+        chrome = above.chrome
+        if tag in CHROME_TAGS or (tag == "header" and not article):
+            chrome = TAG_CHROME
+        elif (names & CHROME_NAMES and tag not in ("body", "html", "article", "main")) or (names & HEAD_NAMES and not article):
+            chrome = TAG_CHROME
         step = tag
         if named.get("class", "").split():
             step += "." + named["class"].split()[0]
@@ -161,24 +166,30 @@ def token_stats(pages: DataFrame) -> DataFrame:
                     entry[1] += links
                     entry[3].append(text)
                 for path, count in opened.items():
-                    chars, links, chrome, parts = texts.pop(path, (0, 0, False, []))
-                    rows.append((host, path, key, count, chars, links, chrome, "\n".join(parts) if parts else None))
-            out = pd.DataFrame(rows, columns=["host", "path", "key", "n", "chars", "links", "chrome", "text"])
-            out["text"] = pd.util.hash_array(out["text"].fillna("").to_numpy(dtype=object)).astype(np.int64)
+                    chars, links, chrome, parts = texts.pop(path, (0, 0, 0, []))
+                    rows.append((host, path, key, 1, count, chars, links, chrome, "\n".join(parts), parts[0] if parts else ""))
+                    # Further blocks of the path have a row each, for how many of them differ.
+                    rows.extend((host, path, key, 0, 0, 0, 0, 0, "", part) for part in parts[1:])
+            out = pd.DataFrame(rows, columns=["host", "path", "key", "page", "n", "chars", "links", "chrome", "text", "block"])
+            out["said"] = (out["block"] != "").astype(np.int32)
+            for name in ("text", "block"):
+                out[name] = pd.util.hash_array(out[name].to_numpy(dtype=object)).astype(np.int64)
             yield out
 
     rows = pages.select(host_of("url").alias("host"), F.xxhash64("page_id", "url", "html").alias("key"), F.coalesce("html", F.lit("")).alias("html"))
-    tokens = rows.mapInPandas(read, "host string, path string, key long, n int, chars long, links long, chrome boolean, text long")
+    tokens = rows.mapInPandas(read, "host string, path string, key long, page int, n int, chars long, links long, chrome int, text long, block long, said int")
     # Wrapping products and sums of 64 bits; decimal sums keep them exact without overflow errors.
     weighed = (F.col("key").cast("decimal(20,0)") * F.col("n")).cast("decimal(32,0)")
     return tokens.groupBy("host", "path").agg(
-        F.count("*").alias("pages"),
+        F.sum("page").alias("pages"),
         F.sum("n").alias("total"),
         F.sum(weighed).cast("string").alias("vector"),
         F.sum("chars").alias("chars"),
         F.sum("links").alias("links"),
         F.max("chrome").alias("chrome"),
-        F.approx_count_distinct("text").alias("texts"),
+        F.approx_count_distinct(F.when(F.col("page") == 1, F.col("text"))).alias("texts"),
+        F.sum("said").alias("blocks"),
+        F.approx_count_distinct(F.when(F.col("said") == 1, F.col("block"))).alias("distinct"),
     )
 
 
@@ -186,6 +197,55 @@ def tag_of(path: str) -> str:
     return re.split(r"[.#]", path.rpartition("/")[2])[0]
 
 
+def above(path: str) -> Iterator[str]:
+    """The path and all paths around it, the whole page ('') last."""
+    while path:
+        yield path
+        path = path.rpartition("/")[0]
+    yield ""
+
+
+Token = tuple  # class, parent, once on every page that has it, article characters a page, other
+
+
+def article_slot(template: dict[str, Token], present: Iterable[str]) -> tuple[str, set[str]]:
+    """Article slot of the layout with these tokens, and the paths of the template that are no article text there.
+
+    A page's layout is the valid tokens that it has; those once on every page
+    that has them are its page-level tokens, by class and by the class around
+    (tokens with equal vectors in different places are different classes).
+    Text lies in the slot of the nearest page-level token. The class whose
+    slots hold most of the varying text is the article's; its deepest container
+    with half of that is the article slot, among article and main elements
+    where the layout has one with text. Inside it, page-level containers
+    whose text is all in containers that repeat (records) and less than half
+    of the article's are lists beside it: comments, cards, teasers.
+    """
+    tokens = {p: template[p] for p in present if p in template}
+    mass, records, by_class, of_class = Counter(), Counter(), Counter(), Counter()
+    for path, (_, _, _, chars, other, *_) in tokens.items():
+        if not chars or other:
+            continue
+        kind = next(tokens[p][:2] for p in above(path) if p in tokens and tokens[p][2])
+        by_class[kind] += chars
+        record = False
+        for up in above(path):
+            mass[up] += chars
+            of_class[up, kind] += chars
+            records[up] += chars if record else 0
+            record |= up in tokens and not tokens[up][2] and tag_of(up) in CONTAINERS
+    slots = [p for p, t in tokens.items() if t[2] and mass[p] > 0 and (p == "" or tag_of(p) in CONTAINERS)]
+    own = [p for p in slots if tag_of(p) in ("article", "main")]
+    most = max((mass[p] for p in own), default=0)
+    fits = [p for p in own if 2 * mass[p] >= most]
+    if not fits and by_class:
+        kind = max(by_class, key=lambda c: (by_class[c], c))
+        fits = [p for p in slots if 2 * of_class[p, kind] >= by_class[kind]]
+    main = max(fits, key=lambda p: (p.count("/"), mass[p], p), default="")
+    beside = {p for p in slots if p.startswith(main + "/") and records[p] > 0.999 * mass[p] and 2 * mass[p] < mass[main]}
+    return main, {p for p, t in tokens.items() if t[4] or not beside.isdisjoint(above(p))}
+
+
 def template_of(rows: pd.DataFrame) -> pd.DataFrame:
     """Template of one host: its tokens by class, the class around each, and what each token's slot holds."""
     rows = rows.sort_values("path").reset_index(drop=True)
@@ -202,36 +262,45 @@ def template_of(rows: pd.DataFrame) -> pd.DataFrame:
         return -1
 
     rows["parent"] = [parent(p) for p in rows["path"]]
-    said = np.where(rows["chrome"], 0, rows["chars"] - rows["links"])
-    mass = {p: int(said[[q == p or q.startswith(p + "/") for q in rows["path"]]].sum()) for p, once in zip(rows["path"], rows["pages"] == rows["total"], strict=True) if once and (p == "" or tag_of(p) in CONTAINERS)}
-    wide = dict(zip(rows["path"], rows["pages"] * 2 >= host_pages, strict=True))
-    fits = [p for p, m in mass.items() if wide[p] and 2 * m >= mass.get("", 0) and m > 0]
-    named = [p for p in fits if tag_of(p) in ("article", "main")]
-    main = max(named or fits or [""], key=lambda p: (p.count("/"), p))
-    inside = rows["path"].map(lambda p: p == main or p.startswith(main + "/"))
-    varied = int(rows.loc[inside & ~rows["chrome"], "texts"].max()) if len(rows) else 0
-    # A slot that says the same on many pages whose main text differs is the template's own words,
-    # unless the page itself calls everything there its article.
-    constant = (tag_of(main) not in ("article", "main")) & (rows["pages"] >= 5) & (rows["texts"] <= 1) & (varied >= 5) & (rows["chars"] > 0)
+    rows["once"] = rows["pages"] == rows["total"]
+    tagged = rows["chrome"] == TAG_CHROME
+    varied = int(rows.loc[~tagged, "texts"].max())
+
+    def in_article(path: str) -> bool:
+        """Whether the nearest container is the article or main element: the page itself calls the text its article."""
+        return next((tag_of(p) for p in above(path) if tag_of(p) in CONTAINERS), "") in ("article", "main")
+
+    # A slot that says the same on many pages whose other text differs is the template's own words, and
+    # one whose blocks come again on other pages is a list of what else the host has.
+    again = (rows["texts"] <= 1) | (rows["distinct"] * 2 <= rows["blocks"])
+    constant = ~rows["path"].map(in_article) & (rows["pages"] >= 5) & again & (varied >= 5) & (rows["chars"] > 0)
     link_list = (rows["links"] * 2 > rows["chars"]) & (rows["pages"] >= 2) & ~rows["path"].map(tag_of).isin(["p", "h1", "h2", "h3", "body"])
-    rows["slot"] = np.where(~inside | rows["chrome"] | constant | link_list, "other", "main")
+    rows["other"] = tagged | constant | link_list
+    rows["mass"] = np.where(rows["other"], 0, rows["chars"] - rows["links"]) / rows["pages"]
+    template = {p: (c, q, o, m, x) for p, c, q, o, m, x in rows[["path", "class", "parent", "once", "mass", "other"]].itertuples(index=False)}
+    main, others = article_slot(template, rows.loc[rows["pages"] * 2 >= host_pages, "path"])
+    rows["slot"] = ["main" if main in above(p) and p not in others and not template[p][4] else "other" for p in rows["path"]]
     rows["main"] = main
-    return rows[["host", "path", "class", "parent", "pages", "total", "slot", "main"]]
+    rows["wide"] = rows["pages"] * 2 >= host_pages
+    return rows[["host", "path", "class", "parent", "pages", "total", "slot", "main", "once", "mass", "other", "wide"]]
 
 
-TEMPLATE = "host string, path string, class int, parent int, pages long, total long, slot string, main string"
+TEMPLATE = "host string, path string, class int, parent int, pages long, total long, slot string, main string, once boolean, mass double, other boolean, wide boolean"
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """Templates of all hosts with at least two pages: host, path, class, parent, pages, total, slot, main.
+    """Templates of all hosts with at least two pages: host, path, class, parent, pages, total, slot, main, once, mass, other.
 
     Tokens are element paths. Tokens with equal occurrence vectors over the
     host's pages form a class; classes on at least a tenth of the pages (two
     at least) are valid and nest by the paths of their tokens (`parent`, -1 at the top).
-    Each token is the start of a slot; `main` is the path whose subtree holds
-    most of the host's varying text, and `slot` says whether a token's own
-    slot belongs to it. A page has few tokens and rare ones are dropped before
-    grouping, so a host's group is about ten pages' worth of tokens.
+    Each token is the start of a slot: `once` says whether it is a page-level
+    one, `mass` how much varying text of its own a page has there, `other` that
+    it holds the template's words, links or what tags call no article. From
+    these every page's layout gets its article slot (`article_slot`); `main`
+    and `slot` are that of the layout of tokens on at least half of the pages.
+    A page has few tokens and rare ones are dropped before grouping, so a
+    host's group is about ten pages' worth of tokens.
     """
     stats = stored(token_stats(pages), "tokens")
     sizes = stats.where("path = ''").select("host", F.col("pages").alias("host_pages")).where("host_pages > 1")
@@ -239,14 +308,23 @@ def templates(pages: DataFrame) -> DataFrame:
     return valid.groupBy("host").applyInPandas(template_of, TEMPLATE)
 
 
-def main_text(page: str, main: str | None, other: set[str]) -> str:
-    """Blocks in the template's main slots; without such a slot on the page, in its article, main element or body."""
+def main_text(page: str, template: dict[str, Token] | None, layouts: dict) -> str:
+    """Blocks in the article slot of the page's layout; without such a slot, in its article, main element or body.
+
+    Names of classes count only there. `layouts` keeps the slots of layouts seen before.
+    """
     found, _ = blocks(page)
+    others: set[str] = set()
+    if template:
+        layout = frozenset(p for p, t in template.items() if t[5])
+        if layout not in layouts:
+            layouts[layout] = article_slot(template, layout)
+        main, others = layouts[layout]
+        if main:
+            picked = [text for path, chrome, text, _ in found if chrome != TAG_CHROME and path not in others and (path == main or path.startswith(main + "/"))]
+            if picked:
+                return "\n".join(picked)
     good = [(path, text) for path, chrome, text, _ in found if not chrome]
-    if main:
-        picked = [text for path, text in good if path == main or path.startswith(main + "/") if path not in other]
-        if picked:
-            return "\n".join(picked)
     for name in ("article", "main"):
         picked = [text for path, text in good if any(tag_of(part) == name for part in path.split("/"))]
         if picked:
@@ -264,14 +342,19 @@ def extract(pages: DataFrame) -> DataFrame:
     template; their pages go by element names. Repeated rows are extracted
     each; other columns are not looked at; no pages give no rows.
     """
-    plan = templates(pages).groupBy("host").agg(F.first("main").alias("main"), F.collect_list(F.when(F.col("slot") == "other", F.col("path"))).alias("other"))
-    plan = stored(plan, "templates").select(F.col("host").alias("of_host"), "main", "other")
+    token = F.struct("path", "class", "parent", "once", "mass", "other", "wide")
+    plan = stored(templates(pages).groupBy("host").agg(F.to_json(F.collect_list(token)).alias("template")), "templates").withColumnRenamed("host", "of_host")
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of("url").alias("host"))
-    joined = rows.join(plan, rows["host"] == plan["of_host"], "left").select("page_id", "url", "html", "main", "other")
+    joined = rows.join(plan, rows["host"] == plan["of_host"], "left").select("page_id", "url", "html", "template")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [main_text(page, main, set(other) if other is not None else set()) for page, main, other in zip(batch["html"], batch["main"], batch["other"], strict=True)]
+            known: dict[str | None, tuple] = {None: (None, {})}
+            texts = []
+            for page, said in zip(batch["html"], batch["template"], strict=True):
+                if said not in known:
+                    known[said] = ({t["path"]: (t["class"], t["parent"], t["once"], t["mass"], t["other"], t["wide"]) for t in json.loads(said)}, {})
+                texts.append(main_text(page, *known[said]))
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     # Ids travel as text, since pandas turns whole numbers beside nulls into floats.

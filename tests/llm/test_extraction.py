@@ -73,3 +73,26 @@ def test_table_against_plain_regex(spark, sf):
         article = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
         parts = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1|article|br)[^>]*>", article)]
         assert out[r.page_id] == "\n".join(x for x in parts if x)
+
+
+def test_lists_beside_the_article_go_by_class_and_not_by_name(spark):
+    rows, want = [], {}
+    for i in range(12):
+        text = [f"Title {i}", words(i), words(i + 50)]
+        talk = "".join(f'<div class="zq"><p>voice {i} {k} agrees</p></div>' for k in range(1 + i % 4))
+        rail = f'<div class="qrail"><p>teaser {i % 3} for all</p></div>'
+        body = f"<main><h1>{text[0]}</h1><p>{text[1]}</p><p>{text[2]}</p>{rail}<div class='talk'>{talk}</div></main>"
+        rows.append((i, f"http://beside.example/{i}", f"<html><body>{body}</body></html>", "x", "x"))
+        want[i] = "\n".join(text)
+    out = extraction.extract(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert {r.page_id: r.text for r in out} == want
+
+
+def test_classes_decide():
+    def slot(classes):
+        paths = ["", "/body", "/body/div.a", "/body/div.a/p", "/body/div.b", "/body/div.b/p", "/body/div.b/div.c", "/body/div.b/div.c/p"]
+        chars = [0, 0, 0, 50, 0, 30, 0, 40]
+        return extraction.article_slot({p: (k, -1, True, float(n), False) for p, k, n in zip(paths, classes, chars, strict=True)}, paths)[0]
+
+    assert slot([0] * 8) == "/body/div.b"
+    assert slot([0, 0, 1, 1, 2, 2, 3, 3]) == "/body/div.a"
