@@ -127,7 +127,7 @@ def blocks(page: str) -> tuple[list[tuple[str, int, str, int]], Counter]:
         if tag in CHROME_TAGS or (tag == "header" and not article):
             chrome = TAG_CHROME
         elif (names & CHROME_NAMES and tag not in ("body", "html", "article", "main")) or (names & HEAD_NAMES and not article):
-            chrome = TAG_CHROME
+            chrome = max(chrome, NAMED_CHROME)
         step = tag
         if named.get("class", "").split():
             step += "." + named["class"].split()[0]

@@ -96,3 +96,15 @@ def test_classes_decide():
 
     assert slot([0] * 8) == "/body/div.b"
     assert slot([0, 0, 1, 1, 2, 2, 3, 3]) == "/body/div.a"
+
+
+def test_names_inside_the_article_drop_nothing(spark):
+    rows, want = [], {}
+    for i in range(10):
+        text = [f"Head {i}", words(i), f"Related work {i}", words(i + 20), words(i + 40), words(i + 60, 12)]
+        body = f'<article><h1>{text[0]}</h1><p id="search">{text[1]}</p><h2 id="related-work">{text[2]}</h2><section id="discussion"><p>{text[3]}</p></section>'
+        body += f'<section class="social-policy"><p>{text[4]}</p></section><div class="notice-of-results" data-id="ad">{text[5]}</div></article>'
+        rows.append((i, f"http://named.example/{i}", page(i, body), "x", "x"))
+        want[i] = "\n".join(text)
+    out = extraction.extract(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert {r.page_id: r.text for r in out} == want
