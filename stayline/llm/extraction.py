@@ -205,7 +205,7 @@ def above(path: str) -> Iterator[str]:
     yield ""
 
 
-Token = tuple  # class, parent, once on every page that has it, article characters a page, other
+Token = tuple[int, int, bool, float, bool]  # class, parent, once on every page that has it, article characters a page, other
 
 
 def article_slot(template: dict[str, Token], present: Iterable[str]) -> tuple[str, set[str]]:
@@ -223,7 +223,7 @@ def article_slot(template: dict[str, Token], present: Iterable[str]) -> tuple[st
     """
     tokens = {p: template[p] for p in present if p in template}
     mass, records, by_class, of_class = Counter(), Counter(), Counter(), Counter()
-    for path, (_, _, _, chars, other, *_) in tokens.items():
+    for path, (_, _, _, chars, other) in tokens.items():
         if not chars or other:
             continue
         kind = next(tokens[p][:2] for p in above(path) if p in tokens and tokens[p][2])
@@ -281,11 +281,10 @@ def template_of(rows: pd.DataFrame) -> pd.DataFrame:
     main, others = article_slot(template, rows.loc[rows["pages"] * 2 >= host_pages, "path"])
     rows["slot"] = ["main" if main in above(p) and p not in others and not template[p][4] else "other" for p in rows["path"]]
     rows["main"] = main
-    rows["wide"] = rows["pages"] * 2 >= host_pages
-    return rows[["host", "path", "class", "parent", "pages", "total", "slot", "main", "once", "mass", "other", "wide"]]
+    return rows[["host", "path", "class", "parent", "pages", "total", "slot", "main", "once", "mass", "other"]]
 
 
-TEMPLATE = "host string, path string, class int, parent int, pages long, total long, slot string, main string, once boolean, mass double, other boolean, wide boolean"
+TEMPLATE = "host string, path string, class int, parent int, pages long, total long, slot string, main string, once boolean, mass double, other boolean"
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -313,10 +312,10 @@ def main_text(page: str, template: dict[str, Token] | None, layouts: dict) -> st
 
     Names of classes count only there. `layouts` keeps the slots of layouts seen before.
     """
-    found, _ = blocks(page)
+    found, opened = blocks(page)
     others: set[str] = set()
     if template:
-        layout = frozenset(p for p, t in template.items() if t[5])
+        layout = frozenset(p for p in opened if p in template)
         if layout not in layouts:
             layouts[layout] = article_slot(template, layout)
         main, others = layouts[layout]
@@ -324,7 +323,7 @@ def main_text(page: str, template: dict[str, Token] | None, layouts: dict) -> st
             picked = [text for path, chrome, text, _ in found if chrome != TAG_CHROME and path not in others and (path == main or path.startswith(main + "/"))]
             if picked:
                 return "\n".join(picked)
-    good = [(path, text) for path, chrome, text, _ in found if not chrome]
+    good = [(path, text) for path, chrome, text, _ in found if not chrome and path not in others]
     for name in ("article", "main"):
         picked = [text for path, text in good if any(tag_of(part) == name for part in path.split("/"))]
         if picked:
@@ -342,7 +341,7 @@ def extract(pages: DataFrame) -> DataFrame:
     template; their pages go by element names. Repeated rows are extracted
     each; other columns are not looked at; no pages give no rows.
     """
-    token = F.struct("path", "class", "parent", "once", "mass", "other", "wide")
+    token = F.struct("path", "class", "parent", "once", "mass", "other")
     plan = stored(templates(pages).groupBy("host").agg(F.to_json(F.collect_list(token)).alias("template")), "templates").withColumnRenamed("host", "of_host")
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of("url").alias("host"))
     joined = rows.join(plan, rows["host"] == plan["of_host"], "left").select("page_id", "url", "html", "template")
@@ -353,7 +352,7 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = []
             for page, said in zip(batch["html"], batch["template"], strict=True):
                 if said not in known:
-                    known[said] = ({t["path"]: (t["class"], t["parent"], t["once"], t["mass"], t["other"], t["wide"]) for t in json.loads(said)}, {})
+                    known[said] = ({t["path"]: (t["class"], t["parent"], t["once"], t["mass"], t["other"]) for t in json.loads(said)}, {})
                 texts.append(main_text(page, *known[said]))
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 

@@ -108,3 +108,19 @@ def test_names_inside_the_article_drop_nothing(spark):
         want[i] = "\n".join(text)
     out = extraction.extract(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
     assert {r.page_id: r.text for r in out} == want
+
+
+def test_layouts_under_half_of_a_host(spark):
+    rows, want = [], {}
+    for i in range(30):
+        kind = ("post", "post", "post", "shop", "note")[i % 5]
+        text = [f"Title {i}", words(i), words(i + 50)]
+        body = f'<div class="strip"><p>Welcome to our shop</p></div><div class="{kind}"><h3>{text[0]}</h3><p>{text[1]}</p><p>{text[2]}</p></div><div class="tail"><a href="/{i}">see {i}</a></div>'
+        rows.append((i, f"http://kinds.example/{i}", f"<html><body>{body}</body></html>", "x", "x"))
+        want[i] = "\n".join(text)
+    # A page without any article slot: the template's words and link lists are no text there either.
+    bare = '<div class="strip"><p>Welcome to our shop</p></div><pre>only here</pre><div class="tail"><a href="/x">see x</a></div>'
+    rows.append((99, "http://kinds.example/99", f"<html><body>{bare}</body></html>", "x", "x"))
+    want[99] = "only here"
+    out = extraction.extract(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert {r.page_id: r.text for r in out} == want
