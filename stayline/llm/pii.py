@@ -89,15 +89,17 @@ MATCH = "array<struct<kind:int,i:int,hit:string,gap:int,first:string,last:string
 
 
 def located(scanned: DataFrame) -> DataFrame:
-    """Valid matches with their places in code points and the words around: row, kind, start, end, hit, before, after.
+    """Valid matches with their places in code points and the text around: row, kind, start, end, hit, left, right, before, after, ends.
 
     A place is the sum of the lengths before it, a running sum inside the
-    document. Tokens are trimmed of punctuation.
+    document. Tokens are trimmed of punctuation; `left` and `right` are the
+    places with it. `ends` says that the document ends within `after`.
     """
     rows = scanned.select("row", F.inline("parts"))
     order = Window.partitionBy("row", "kind").orderBy("i")
     length = F.coalesce(F.char_length("hit"), F.lit(0))
     rows = rows.withColumn("end", F.sum(F.col("gap") + length).over(order)).withColumn("after", F.lead("first").over(order))
+    rows = rows.withColumn("ends", F.lead("hit").over(order).isNull() & (F.lead("gap").over(order) <= WINDOW_CHARS))
     rows = rows.where("hit is not null").where(valid())
     lead = F.when(F.col("kind") == TOKEN, F.char_length(F.regexp_extract("hit", f"^{EDGE}", 0))).otherwise(0)
     tail = F.when(F.col("kind") == TOKEN, F.char_length(F.regexp_extract("hit", f"{EDGE}$", 0))).otherwise(0)
@@ -108,8 +110,11 @@ def located(scanned: DataFrame) -> DataFrame:
         (F.col("end") - F.char_length("hit") + lead).cast("long").alias("start"),
         (F.col("end") - tail).cast("long").alias("end"),
         core.alias("hit"),
+        (F.col("end") - F.char_length("hit")).cast("long").alias("left"),
+        F.col("end").cast("long").alias("right"),
         F.col("last").alias("before"),
         "after",
+        "ends",
     )
 
 
@@ -127,34 +132,60 @@ def free_tokens(found: DataFrame) -> DataFrame:
 
 
 def plain(word: Column) -> Column:
-    """A context word: lower case, every digit as 0."""
-    return F.regexp_replace(F.lower(word), "[0-9]", "0")
+    """A context word, or a text of them: lower case, every digit as 0."""
+    return F.translate(F.lower(word), "123456789", "000000000")
 
 
-def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def beside(found: DataFrame) -> DataFrame:
+    """The word just before and just after every match: value, seed, pattern, word, and its place: row, from, to.
+
+    A word is a run without white space, cut at matches; `whole` says that
+    nothing was cut off it.
+    """
+    body, rest = F.regexp_replace("before", r"\s+$", ""), F.regexp_replace(F.coalesce("after", F.lit("")), r"^\s+", "")
+    rows = found.select("*", F.xxhash64("kind", "hit").alias("value"), (F.col("kind") != TOKEN).alias("seed"), body.alias("body"), rest.alias("rest"))
+    rows = rows.withColumns({"w_before": F.regexp_extract("body", r"\S+$", 0), "w_after": F.regexp_extract("rest", r"^\S+", 0)})
+    to = F.col("left") - F.char_length("before") + F.char_length("body")
+    start = F.col("right") + F.char_length("after") - F.char_length("rest")
+    open_left = (F.char_length("w_before") < F.char_length("body")) | (F.col("left") == F.char_length("before"))
+    open_right = (F.char_length("w_after") < F.char_length("rest")) | F.col("ends")
+    sides = F.array(
+        F.struct(F.lit("<").alias("side"), F.col("w_before").alias("raw"), (to - F.char_length("w_before")).alias("from"), to.alias("to"), ((to < F.col("left")) & open_left).alias("whole")),
+        F.struct(F.lit(">").alias("side"), F.col("w_after").alias("raw"), start.alias("from"), (start + F.char_length("w_after")).alias("to"), ((start > F.col("right")) & open_right).alias("whole")),
+    )
+    words = rows.select("row", "value", "seed", F.inline(sides)).where("raw <> ''")
+    return words.withColumn("word", plain(F.col("raw"))).withColumn("pattern", F.concat("side", "word")).drop("side", "raw")
+
+
+def word_totals(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """How often every word stands in all texts, each place once: word, total.
+
+    Runs between white space over the whole texts, and the pieces of runs that
+    matches cut. Runs too long to be a context word are left out.
+    """
+    runs = docs.select(F.explode(F.split(plain(F.coalesce("text", F.lit(""))), r"\s+")).alias("word")).where(F.char_length("word").between(1, 3 * WINDOW_CHARS))
+    pieces = words.where("not whole").select("row", "from", "to", "word").distinct()
+    every = runs.groupBy("word").agg(F.count("*").alias("n")).union(pieces.groupBy("word").agg(F.count("*").alias("n")))
+    return every.groupBy("word").agg(F.sum("n").alias("total"))
+
+
+def bootstrap(docs: DataFrame, found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Identifiers beyond the base kinds: (value, confidence).
 
     Instances are matched strings; seeds are those of the base kinds. A
     pattern is the word just before or just after an instance. In each round a
     pattern's score is the confidence of the instances it stands by, over all
-    its occurrences within WINDOW_CHARS of any instance (so a word that often
-    stands elsewhere scores low), and an unseen instance gets the confidence
+    places of its word in the texts (so a word that often stands elsewhere
+    scores low), and an unseen instance gets the confidence
     that one of its good patterns is right. Patterns need MIN_SEEDS different
     seeds. All is grouping and joining of thin rows; counts are added up per
     (pattern, instance) first, so a frequent word or value is no hot row.
     """
-    words = found.select(
-        F.xxhash64("kind", "hit").alias("value"),
-        (F.col("kind") != TOKEN).alias("seed"),
-        F.filter(F.split(plain(F.col("before")), r"\s+"), lambda w: w != "").alias("before"),
-        F.filter(F.split(plain(F.coalesce("after", F.lit(""))), r"\s+"), lambda w: w != "").alias("after"),
-    )
-    seen = words.select(F.explode(F.concat(F.transform("before", lambda w: F.concat(F.lit("<"), w)), F.transform("after", lambda w: F.concat(F.lit(">"), w)))).alias("pattern"))
-    totals = seen.groupBy("pattern").agg(F.count("*").alias("total"))
-    beside = F.array(F.concat(F.lit("<"), F.try_element_at("before", F.lit(-1))), F.concat(F.lit(">"), F.try_element_at("after", F.lit(1))))
-    pairs = words.select("value", "seed", F.explode(F.array_compact(beside)).alias("pattern")).groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
+    words = beside(found)
+    pairs = words.groupBy("pattern", "word", "value").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
+    totals = word_totals(docs, words)
     support = pairs.groupBy("pattern").agg(F.count(F.when(F.col("seed"), 1)).alias("seeds")).where(F.col("seeds") >= MIN_SEEDS)
-    graph = stored(pairs.join(support, "pattern").join(totals, "pattern"), "graph")
+    graph = stored(pairs.join(support, "pattern").join(totals, "word").drop("word"), "graph")
     belief = graph.where("seed").select("value", F.lit(1.0).alias("confidence")).distinct()
     unseen = None
     for _ in range(rounds):
@@ -170,7 +201,7 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All documents (row, doc_id, text_hash), and their spans (row, kind, start, end): base kinds and discovered ones."""
     scanned = scan(docs)
     found = stored(free_tokens(located(scanned)), "found")
-    unseen = bootstrap(found)
+    unseen = bootstrap(docs, found)
     more = found.where(F.col("kind") == TOKEN).withColumn("value", F.xxhash64("kind", "hit")).join(unseen, "value")
     names = ["row", "kind", "start", "end"]
     return scanned.select("row", "doc_id", "text_hash"), found.where(F.col("kind") != TOKEN).select(names).union(more.select(names))

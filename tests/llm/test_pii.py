@@ -92,3 +92,24 @@ def test_plan_has_no_python(spark, sf_dir):
 def test_very_long_runs_take_linear_time(spark):
     rows = [(i, t, "x", 1, 2, 3) for i, t in enumerate(["a" * 2_000_000, "1" * 2_000_000, "a." * 1_000_000, "+1" * 1_000_000])]
     assert [r.base_sha256 for r in pii.report(spark.createDataFrame(rows, SCHEMA)).collect()] == [hashlib.sha256(b"").hexdigest()] * 4
+
+
+def ids_of(spark, texts):
+    out = pii.find(spark.createDataFrame([(i, t, "x", 1, 2, 3) for i, t in enumerate(texts)], SCHEMA).repartition(3)).collect()
+    return sorted(texts[r.doc_id][x.start : x.end] for r in out for x in r.list if x.kind == pii.TOKEN)
+
+
+def test_words_of_patterns_are_counted_once_over_whole_texts(spark):
+    dense = [f"Email: user{i}@mail.org Phone: +1 555 123 45{i}0" for i in range(8)]
+    assert ids_of(spark, dense + ["Email: user7745-at-mail Phone: none"]) == ["user7745-at-mail"]
+    # A word that stands far from identifiers most of the time says nothing.
+    far = ["plain words that hold no identifier at all. " * 5 + "kontakt: them " + "and more words without any. " * 5] * 40
+    assert ids_of(spark, [f"kontakt: user{i}@mail.org end{'x' * i}" for i in range(8)] + far + ["kontakt: user7745-at-mail again"]) == []
+
+
+def test_word_totals(spark):
+    texts = ["see a@b.cc,d@e.ff see SEE mail:x@y.zz. see", "12 see, 34\n12"]
+    docs = spark.createDataFrame([(i, t, "x", 1, 2, 3) for i, t in enumerate(texts)], SCHEMA)
+    found = pii.free_tokens(pii.located(pii.scan(docs)))
+    totals = {r.word: r.total for r in pii.word_totals(docs, pii.beside(found)).collect()}
+    assert totals == {"see": 4, "a@b.cc,d@e.ff": 1, ",": 1, "mail:x@y.zz.": 1, "mail:": 1, "see,": 1, "00": 3, ".": 1}
