@@ -26,8 +26,7 @@ EDGE = r"[._@%+/:=-]+"
 
 WINDOW_CHARS = 80  # on either side of an identifier, from which its patterns are taken
 MIN_TOKEN_CHARS, MIN_TOKEN_DIGITS = 6, 3
-ROUNDS = 3
-MIN_SEEDS = 3  # different seeds that a pattern must stand by
+MIN_SEEDS = 3  # different seeds or confirmed instances that a pattern must stand by
 MIN_SCORE = 0.6
 
 
@@ -169,32 +168,41 @@ def word_totals(docs: DataFrame, words: DataFrame) -> DataFrame:
     return every.groupBy("word").agg(F.sum("n").alias("total"))
 
 
-def bootstrap(docs: DataFrame, found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def bootstrap(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Identifiers beyond the base kinds: (value, confidence).
 
     Instances are matched strings; seeds are those of the base kinds. A
     pattern is the word just before or just after an instance. In each round a
     pattern's score is the confidence of the instances it stands by, over all
     places of its word in the texts (so a word that often stands elsewhere
-    scores low), and an unseen instance gets the confidence
-    that one of its good patterns is right. Patterns need MIN_SEEDS different
-    seeds. All is grouping and joining of thin rows; counts are added up per
+    scores low), and an unseen instance gets the confidence that one of its
+    good patterns is right. Patterns need MIN_SEEDS different instances that are seeds or
+    confirmed by the round before, so confirmed ones bring patterns of their
+    own. Scores and confidences never fall from round to round; the last round
+    is the one that brings no instance and no pattern and raises no score in
+    its second decimal. Only patterns that no round can accept are dropped
+    before. All is grouping and joining of thin rows; counts are added up per
     (pattern, instance) first, so a frequent word or value is no hot row.
     """
     words = beside(found)
     pairs = words.groupBy("pattern", "word", "value").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
+    reach = pairs.groupBy("pattern").agg(F.count("*").alias("values"), F.sum("n").alias("most")).where(F.col("values") >= MIN_SEEDS)
     totals = word_totals(docs, words)
-    support = pairs.groupBy("pattern").agg(F.count(F.when(F.col("seed"), 1)).alias("seeds")).where(F.col("seeds") >= MIN_SEEDS)
-    graph = stored(pairs.join(support, "pattern").join(totals, "word").drop("word"), "graph")
-    belief = graph.where("seed").select("value", F.lit(1.0).alias("confidence")).distinct()
-    unseen = None
-    for _ in range(rounds):
+    graph = pairs.join(reach, "pattern").join(totals, "word").where(F.col("most") >= MIN_SCORE * F.col("total"))
+    graph = stored(graph.select("pattern", "value", "seed", "n", "total"), "graph")
+    seeds = graph.where("seed").select("value", F.lit(1.0).alias("confidence")).distinct()
+    belief, before = seeds, None
+    while True:
         weight = F.sum(F.col("n") * F.col("confidence")) / F.first("total")
-        good = graph.join(belief, "value").groupBy("pattern").agg(F.least(weight, F.lit(0.99)).alias("score")).where(F.col("score") >= MIN_SCORE)
-        doubt = F.exp(F.sum(F.log(1 - F.col("score"))))
-        unseen = stored(graph.where("not seed").join(good, "pattern").groupBy("value").agg((1 - doubt).alias("confidence")), "unseen")
-        belief = graph.where("seed").select("value", F.lit(1.0).alias("confidence")).distinct().union(unseen)
-    return unseen.where(F.col("confidence") >= MIN_SCORE)
+        scored = graph.join(belief, "value").groupBy("pattern").agg(F.least(weight, F.lit(0.99)).alias("score"), F.count("*").alias("support"))
+        good = stored(scored.where((F.col("support") >= MIN_SEEDS) & (F.col("score") >= MIN_SCORE)).select("pattern", "score"), "good")
+        # The best pattern alone is a bound that rounding of the product must not undercut.
+        confidence = F.greatest(F.max("score"), 1 - F.exp(F.sum(F.log(1 - F.col("score")))))
+        unseen = stored(graph.where("not seed").join(good, "pattern").groupBy("value").agg(confidence.alias("confidence")), "unseen")
+        now = (unseen.count(), *good.agg(F.count("*"), F.sum(F.round(F.col("score") * 100).cast("long"))).first())
+        if now == before:
+            return unseen
+        belief, before = seeds.union(unseen), now
 
 
 def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

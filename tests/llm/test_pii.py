@@ -113,3 +113,16 @@ def test_word_totals(spark):
     found = pii.free_tokens(pii.located(pii.scan(docs)))
     totals = {r.word: r.total for r in pii.word_totals(docs, pii.beside(found)).collect()}
     assert totals == {"see": 4, "a@b.cc,d@e.ff": 1, ",": 1, "mail:x@y.zz.": 1, "mail:": 1, "see,": 1, "00": 3, ".": 1}
+
+
+def test_found_identifiers_bring_patterns_of_their_own(spark):
+    # Each label but the first stands beside identifiers that only the label before it confirms, never beside a seed.
+    labels = ["kontakt:", "passport:", "account:", "member:", "holder:"]
+    texts, want = [f"kontakt: user{i}@mail.org" for i in range(40)], []
+    for k, label in enumerate(labels):
+        for i in range(6):
+            if k:
+                texts += [f"{label} a{k - 1}-{i}77451 x{k}{'y' * i}"] * 3
+            texts.append(f"{label} a{k}-{i}77451 z{k}{'y' * i}")
+            want += [f"a{k}-{i}77451"] * (4 if k + 1 < len(labels) else 1)
+    assert ids_of(spark, texts + ["build: b8-12345 no label", "none: b9-12345 no label"]) == sorted(want)
