@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stayline.llm import extraction, hnsw, language, mixing, multi_index, ngram_join, packing, pii, quality, warc
+from stayline.llm import alignment, extraction, hnsw, language, mixing, multi_index, ngram_join, packing, pii, quality, warc
 from stayline.llm.common import table
 from stayline.session import scratch_path
 
@@ -71,6 +71,11 @@ def op10_multi_index_near_duplicates(spark, sf_dir):
     return multi_index.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op13_exact_text_alignment(spark, sf_dir):
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 ORACLE["op1_warc_transactions"] = """
 with p as (select page_id, url, coalesce(html, '') as html from pages),
 d as (select distinct page_id, url, html, strlen(html) as n, sha1(html) as digest from p),
