@@ -57,10 +57,11 @@ def brute(texts):
                 own.append(at)
             ends.append(own)
         cuts = sorted(set(ends[0]) & set(ends[1]))
-        groups, start = [], 0
+        groups, i, j = [], 0, 0
         for cut in cuts:
-            groups.append(([i for i, e in zip(a.ids, ends[0]) if start < e <= cut], [i for i, e in zip(b, ends[1]) if start < e <= cut]))
-            start = cut
+            next_i, next_j = ends[0].index(cut, i) + 1, ends[1].index(cut, j) + 1
+            groups.append((a.ids[i:next_i], b[j:next_j]))
+            i, j = next_i, next_j
         return a.ids, b, groups
 
     done = {t: one(t) for t in set(texts)}
