@@ -104,8 +104,10 @@ def test_slices_of_long_texts(spark, monkeypatch):
     whole = alignment.align(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     tools = alignment.tokenizers(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("piece_bpe_32k.model"))
     monkeypatch.setattr(alignment, "SLICE_CHARS", 50)
-    facts, _, digest = next(alignment.Words(tools).texts([text]))
-    assert (facts[:4].tolist(), digest) == ([whole.n_a, whole.n_b, whole.n_groups, whole.n_links], whole.groups_sha256)
+    facts, digest, _, times = next(alignment.Words(tools).texts([text]))
+    assert times.sum() == facts[3] and times.max() == 301
+    assert alignment.unpacked(*alignment.packed(times * 3, times))[1].sum() == facts[3]
+    assert (facts.tolist(), digest) == ([whole.n_a, whole.n_b, whole.n_groups, whole.n_links], whole.groups_sha256)
     assert (whole.n_a, whole.n_groups, digest) == (lambda w: (w[0], w[2], w[6]))(brute([text])[text])
 
 
