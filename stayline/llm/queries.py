@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stayline.llm import alignment, conversations, extraction, hnsw, language, mixing, multi_index, ngram_join, packing, pii, quality, warc
+from stayline.llm import alignment, conversations, extraction, hnsw, katz, language, mixing, multi_index, ngram_join, packing, pii, quality, warc
 from stayline.llm.common import table
 from stayline.session import scratch_path
 
@@ -76,6 +76,11 @@ def op11_wagner_fischer_repair(spark, sf_dir):
     return conversations.repair(table(spark, sf_dir, "conversations"))
 
 
+@query
+def op12_katz_backoff(spark, sf_dir):
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_exact_text_alignment(spark, sf_dir):
     return alignment.align(table(spark, sf_dir, "documents"))
