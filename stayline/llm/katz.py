@@ -27,8 +27,8 @@ from stayline.session import scratch_path, stored
 FOLDS, HELD_OUT = 10, 0
 LOW = 5  # counts up to this are discounted
 ADDED = 0.1  # of the base score
-CHUNK_TOKENS = 3_000_000  # of documents that travel together
-BUCKET_TOKENS = 5_000_000  # that one task counts
+CHUNK_TOKENS = 2_000_000  # of documents that travel together
+BUCKET_TOKENS = 2_500_000  # that one task counts
 HOT_WORDS = 1 << 16  # bound of the list of frequent words that every task holds
 START, END = np.uint64(1), np.uint64(2)
 BLANK = re.compile(rb"[\x20\x09-\x0D]")
@@ -309,7 +309,8 @@ def counted(pairs: DataFrame, deal: Deal) -> DataFrame:
         )
         return pd.DataFrame(out, columns=COUNTED_NAMES)
 
-    return pairs.groupBy("bucket").applyInPandas(count, COUNTED)
+    tasks = deal.buckets + int(deal.parts.sum())
+    return pairs.repartition(tasks, "bucket").groupBy("bucket").applyInPandas(count, COUNTED)
 
 
 def discounts(of: list[int]) -> np.ndarray:
