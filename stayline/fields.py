@@ -109,6 +109,8 @@ EMPTY_BODY = "Request body is empty"
 BROKEN_BODY = "Request body must be valid JSON"
 NO_RECORDS = "Request body has no list of records"
 LONG_LINE = "CSV line has more cells than columns"
+OPEN_QUOTE = "CSV has a quoted cell that never ends"
+OTHER_HEADER = "CSV files differ in their header"
 NO_EMAIL_SKIPPED = "Skipping recipient without email"
 NO_RECIPIENTS_LEFT = "No recipients with valid email addresses remain after payload normalization"
 BAD_BATCH_STATUS = "'batch_response.status' is missing or unsupported"

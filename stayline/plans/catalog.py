@@ -80,6 +80,31 @@ def src_batch_json(spark, sf_dir):
     return files.with_position(records, files.body_offsets(spark, path))
 
 
+@query
+def src_quoted_csv(spark, sf_dir):
+    """Records of which some hold line breaks, quotes and commas in a quoted cell; files stay split among tasks."""
+    records = t.raw_records(spark, sf_dir)
+    names = [c for c in records.columns if c != "row_index"]
+    broken = F.concat(F.col("customer_id"), F.lit('\nc/o "'), "Geography", F.lit('", 2nd floor\r\n'))
+    path = scratch_path(spark, "quoted_csv")
+    rows = records.withColumn("customer_id", F.when(F.col("row_index") % 5 == 2, broken).otherwise(F.col("customer_id")))
+    rows.orderBy("row_index").select(names).write.options(header=True, quoteAll=True, escape='"').csv(path)
+    return files.read_record_csv(spark, path)
+
+
+@query
+def src_json_positions(spark, sf_dir):
+    """Entries of bodies of different sizes whose request ids are absent or shared by many."""
+    key = F.col("c_custkey")
+    entries = F.transform(F.sequence(F.lit(1), key % 4 + 1), lambda i: F.concat(F.lit('{"customer_id": "'), key.cast("string"), F.lit("-"), i.cast("string"), F.lit('"}')))
+    request = F.when(key % 3 > 0, F.concat(F.lit('"request_id": '), (key % 7).cast("string"), F.lit(", "))).otherwise("")
+    bodies = t.table(spark, sf_dir, "customer").select(key, F.concat(F.lit("{"), request, F.lit('"records": ['), F.array_join(entries, ", "), F.lit("]}")).alias("value"))
+    path = scratch_path(spark, "bodies")
+    bodies.orderBy("c_custkey").select("value").write.text(path)
+    records = files.read_record_bodies(spark, path)
+    return files.with_position(records, files.body_offsets(spark, path)).select("request_id", "customer_id", "row_index")
+
+
 @query
 def src_json_errors(spark, sf_dir):
     """Bodies of which some are cut short, blank, without records or with entries that are none: nothing is lost."""

@@ -359,9 +359,9 @@ RESULT_VIEWS = (BASE, SCORED, DECIDED, RESULTS, CLEAN)
 RECORD_VIEWS = (BASE, RAW, PROBLEMS, VALID)
 
 
-def blanked(names: list[str]) -> str:
-    """Cells as read back from CSV: rows at every 41st place empty, missing spellings null."""
-    return ", ".join(f'case when row_index % 41 <> 9 and "{n}" not in (\'\', \'NaN\') then "{n}" end as "{n}"' for n in names)
+def blanked(names: list[str], kept: str = "row_index % 41 <> 9") -> str:
+    """Cells as read back from CSV: rows that are not kept (every 41st) empty, missing spellings null."""
+    return ", ".join(f'case when {kept} and "{n}" not in (\'\', \'NaN\') then "{n}" end as "{n}"' for n in names)
 
 
 RAW_NAMES = ["customer_id", "CreditScore", "Geography", "Gender", "Age", "Tenure", "Balance", "NumOfProducts", "HasCrCard", "IsActiveMember", "EstimatedSalary", "email"]
@@ -376,6 +376,16 @@ ORACLE: dict[str, str] = {
         f"cells as (select row_index as place, {blanked(RAW_NAMES)} from raw_records where row_index % 41 <> 9)",
         body="select row_number() over (order by place) - 1 as row_index, * exclude (place) from cells",
     ),
+    "src_quoted_csv": with_(
+        BASE,
+        RAW,
+        f"""cells as (select row_index, {blanked(RAW_NAMES[1:], 'true')}, case when row_index % 5 = 2 then customer_id || chr(10) || 'c/o "'
+ || "Geography" || '", 2nd floor' || chr(13) || chr(10) else customer_id end as customer_id from raw_records)""",
+        body="select * replace (row_number() over (order by row_index) - 1 as row_index) from cells",
+    ),
+    "src_json_positions": """select case when c_custkey % 3 > 0 then c_custkey % 7 end as request_id, c_custkey || '-' || i as customer_id,
+ row_number() over (order by c_custkey % 3 = 0, case when c_custkey % 3 > 0 then c_custkey % 7 end, c_custkey, i) - 1 as row_index
+from customer, range(1, 5) as entry(i) where i <= c_custkey % 4 + 1""",
     "src_json_errors": """select what, count(*) as n from (
 select case c_custkey % 10 when 1 then 'Request body must be valid JSON' when 2 then 'Request body is empty'
  when 3 then 'Request body has no list of records' else 'record, score 1' end as what from customer

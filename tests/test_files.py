@@ -1,11 +1,14 @@
+import random
+
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from stayline import session
-from stayline.fields import FEATURES, REQUIRED_FIELDS
+from stayline.fields import CSV_MISSING, FEATURES, REQUIRED_FIELDS
 from stayline.operators.preparation import Preparation
 from stayline.sources import files
+from stayline.sources import lines as lines_module
 from stayline.sources import tables as t
 
 
@@ -193,3 +196,103 @@ def test_training_cells(spark, tmp_path):
     for odd in ({"CreditScore": "abc"}, {"Exited": "yes"}):
         with pytest.raises(Exception, match="must be a number"):
             read(**odd)
+
+
+def cut_into(spark, size):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+
+
+@pytest.fixture
+def small_blocks(spark):
+    yield lambda size: cut_into(spark, size)
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def csv_cell(rng):
+    plain = rng.choice(["1", "x", "", "NA", "5 inch", " a b ", "word" * rng.randint(1, 9)])
+    if rng.random() < 0.6:
+        return plain, plain
+    text = "".join(rng.choice(["a", ",", '"', "\n", "\r\n", " ", "zz", '""', ',"', "\n\n"]) for _ in range(rng.randint(0, 12)))
+    return text, '"' + text.replace('"', '""') + '"'
+
+
+@pytest.mark.parametrize("size", [37, 200, 100_000])
+def test_quoted_breaks_in_split_files(spark, tmp_path, small_blocks, size):
+    """Equal to a reader that takes each file in one piece, wherever the blocks are cut."""
+    rng = random.Random(size)
+    head, want = ["customer_id", *REQUIRED_FIELDS], []
+    for part in range(2):
+        lines = [",".join(head)]
+        for i in range(40):
+            cells = [csv_cell(rng) for _ in head]
+            lines.append(",".join(c[1] for c in cells))
+            want.append([c[0] for c in cells])
+        ending = ["\n", "\r\n"][part]
+        (tmp_path / f"part-{part}.csv").write_bytes((ending.join(lines) + ending).encode())
+    small_blocks(size)
+    assert lines_module.has_quoted_breaks(spark, str(tmp_path))
+    if size == 37:
+        assert lines_module.placed_lines(spark, str(tmp_path)).select("_file", "_block").distinct().count() > 50
+    rows = files.read_record_csv(spark, str(tmp_path)).orderBy("row_index").collect()
+    want = [[None if c in CSV_MISSING else c for c in cells] for cells in want]
+    want = [cells for cells in want if any(c is not None for c in cells)]
+    assert [list(r)[1:] for r in rows] == want
+    assert [r.row_index for r in rows] == list(range(len(want)))
+    whole = files.read_record_csv(spark, str(tmp_path), multiline=True).orderBy("row_index").collect()
+
+    def alike(row):  # read in one piece, a file's own line ends become line feeds also in cells
+        return [c.replace("\r\n", "\n") if isinstance(c, str) else c for c in row]
+
+    assert list(map(alike, whole)) == list(map(alike, rows))
+
+
+def test_quotes_within_plain_cells_are_letters(spark, tmp_path):
+    head = ",".join(REQUIRED_FIELDS)
+    row = ['5" pipe', 'a"b"c', '"x\ny"', '"q"tail', '""', *["1"] * (len(REQUIRED_FIELDS) - 5)]
+    (tmp_path / "q.csv").write_text(head + "\n" + ",".join(row) + "\n" + ",".join("2" for _ in REQUIRED_FIELDS) + "\n")
+    first, second = files.read_record_csv(spark, str(tmp_path / "q.csv")).orderBy("row_index").collect()
+    assert list(first)[1:4] == ['5" pipe', 'a"b"c', "x\ny"] and second[1] == "2"
+
+
+def test_open_quote_and_other_header_are_errors(spark, tmp_path, small_blocks):
+    head = ",".join(REQUIRED_FIELDS)
+    row = ",".join("1" for _ in REQUIRED_FIELDS)
+    (tmp_path / "o").mkdir()
+    (tmp_path / "o" / "a.csv").write_text("\n".join([head, row, '"never ends' + row, *[row] * 50]) + "\n")
+    small_blocks(100)
+    with pytest.raises(ValueError, match="quoted cell that never ends.*a.csv"):
+        files.read_record_csv(spark, str(tmp_path / "o"))
+    (tmp_path / "h").mkdir()
+    (tmp_path / "h" / "a.csv").write_text("\n".join([head, '"x\ny"' + row[1:]]) + "\n")
+    (tmp_path / "h" / "b.csv").write_text("\n".join([",".join(reversed(REQUIRED_FIELDS)), row]) + "\n")
+    with pytest.raises(ValueError, match="differ in their header"):
+        files.read_record_csv(spark, str(tmp_path / "h"))
+
+
+def test_training_csv_with_quoted_breaks(spark, tmp_path, small_blocks):
+    names = ["Surname", "Exited", *FEATURES]
+    rows = [",".join([f'"Name {i}\n, ""the"" {i}"', str(i % 2), *["1.5"] * 8, "France", "Female"]) for i in range(30)]
+    (tmp_path / "t.csv").write_text(",".join(names) + "\n" + "\n".join(rows) + "\n")
+    small_blocks(64)
+    read = files.read_training_csv(spark, str(tmp_path / "t.csv")).collect()
+    assert sorted(r.Surname for r in read) == sorted(f'Name {i}\n, "the" {i}' for i in range(30))
+    assert {r.Age for r in read} == {1.5} or {r.Geography for r in read} == {"France"}
+
+
+@pytest.mark.parametrize("line, start, inside", [("a,b", False, False), ('a,"b', False, True), ('b",c', True, False), ('a"b', False, False), ('""', False, False), ('"a""', False, True), ('"a"b"', False, False), ('x,"",""', False, False), ('"",', True, True), ("", True, True)])
+def test_end_of_a_line(spark, line, start, inside):
+    assert spark.createDataFrame([(line,)], "v string").select(lines_module.ends_inside(F.col("v"), start)).first()[0] is inside
+
+
+def test_positions_without_and_with_equal_request_ids(spark, tmp_path, small_blocks):
+    def body(request, *names):
+        return '{%s"records": [%s]}' % ("" if request is None else f'"request_id": {request}, ', ", ".join('{"customer_id": "%s"}' % n for n in names))
+
+    write(tmp_path / "p", "b.json", [body(None, "g", "h"), body(3, "c"), body(None, "i")])
+    write(tmp_path / "p", "a.json", [body(3, "a", "b"), body(None, "e", "f"), body(4, "d"), "{"])
+    small_blocks(40)
+    path = str(tmp_path / "p")
+    rows = files.with_position(files.read_record_bodies(spark, path), files.body_offsets(spark, path)).collect()
+    assert {r.customer_id: r.row_index for r in rows} == dict(zip("abcdefghi", range(9)))
