@@ -88,7 +88,9 @@ def src_quoted_csv(spark, sf_dir):
     broken = F.concat(F.col("customer_id"), F.lit('\nc/o "'), "Geography", F.lit('", 2nd floor\r\n'))
     path = scratch_path(spark, "quoted_csv")
     rows = records.withColumn("customer_id", F.when(F.col("row_index") % 5 == 2, broken).otherwise(F.col("customer_id")))
-    rows.orderBy("row_index").select(names).write.options(header=True, quoteAll=True, escape='"').csv(path)
+    rows.orderBy("row_index").select(names).write.options(
+        header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
     return files.read_record_csv(spark, path)
 
 
