@@ -145,22 +145,28 @@ def valid_rows(rows: DataFrame, mode: str = "partial") -> DataFrame:
     return good.select(*[F.col(_parsed(c)).alias(c) if c in NUMERIC_FEATURES else F.col(c) for c in kept])
 
 
+def summary_counts(seen: Column | None = None) -> list[Column]:
+    """Aggregates over checked rows: records, those seen that are valid and invalid, and their errors."""
+    seen, bad = F.lit(True) if seen is None else seen, F.col("bad")
+    return [
+        F.count("*").alias("total_records"),
+        F.count_if(seen & ~bad).alias("valid_records"),
+        F.count_if(seen & bad).alias("invalid_records"),
+        F.coalesce(F.sum(F.when(seen, F.col("n_problems"))), F.lit(0)).cast("long").alias("error_count"),
+    ]
+
+
 def summary(rows: DataFrame, mode: str = "partial") -> DataFrame:
     """Counts of total, valid and invalid records and of errors, as one row.
 
     fail_fast looks no further than the first bad row: rows before it are
     valid, it alone is invalid.
     """
-    bad, seen = F.col("bad"), F.lit(True)
+    seen = None
     if check_mode(mode) == "fail_fast":
         stop = first_bad_row(rows)
         seen = stop.isNull() | (F.col("row_index") <= stop)
-    return rows.agg(
-        F.count("*").alias("total_records"),
-        F.count_if(seen & ~bad).alias("valid_records"),
-        F.count_if(seen & bad).alias("invalid_records"),
-        F.coalesce(F.sum(F.when(seen, F.col("n_problems"))), F.lit(0)).cast("long").alias("error_count"),
-    ).withColumn("mode", F.lit(mode))
+    return rows.agg(*summary_counts(seen)).withColumn("mode", F.lit(mode))
 
 
 def with_status(summaries: DataFrame) -> DataFrame:

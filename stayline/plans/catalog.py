@@ -600,15 +600,30 @@ def score_batch(spark, sf_dir):
     return rounded(flagged, "clv", "net_gain")
 
 
+def streamed(spark, sf_dir) -> streaming.StreamTables:
+    """The raw records as a stream of several micro-batches, scored into its tables."""
+    source, out = scratch_path(spark, "stream_in"), scratch_path(spark, "stream_out")
+    t.raw_records(spark, sf_dir).repartition(4, "row_index").write.parquet(source)
+    records = streaming.read_records(spark, source, spark.read.parquet(source).schema, files_per_trigger=2)
+    streaming.write_scored(records, linear_scorer, out, scratch_path(spark, "stream_state")).awaitTermination()
+    return streaming.read_scored(spark, out)
+
+
 @query
 def score_stream(spark, sf_dir):
-    source = scratch_path(spark, "stream_in")
-    t.raw_records(spark, sf_dir).write.parquet(source)
-    schema = spark.read.parquet(source).schema
-    results, _ = streaming.score_stream(streaming.read_records(spark, source, schema), linear_scorer)
-    out = scratch_path(spark, "stream_out")
-    streaming.write_stream(results, out, scratch_path(spark, "stream_state")).awaitTermination()
-    return rounded(spark.read.schema(results.schema).parquet(out), "clv", "net_gain")
+    return rounded(streamed(spark, sf_dir).results.drop("batch"), "clv", "net_gain")
+
+
+@query
+def score_stream_errors(spark, sf_dir):
+    return streamed(spark, sf_dir).errors.drop("batch")
+
+
+@query
+def score_stream_summary(spark, sf_dir):
+    """The counts of all micro-batches together; each has a row and a status of its own."""
+    counts = ["total_records", "valid_records", "invalid_records", "error_count"]
+    return streamed(spark, sf_dir).summary.groupBy("mode", "status").agg(*[F.sum(n).alias(n) for n in counts])
 
 
 # --- Metrics --------------------------------------------------------------------------------------

@@ -621,6 +621,12 @@ from tried""",
         VALID_SCORED,
         body="""select "index", id, predicted_label, p_churn, round(clv,6) as clv, recommended_action, round(net_gain,6) as net_gain from batch""",
     ),
+    "score_stream_errors": with_(BASE, RAW, PROBLEMS, body="select * from problems"),
+    "score_stream_summary": with_(
+        *RECORD_VIEWS,
+        body="""select 'partial' as mode, 'partial' as status, (select count(*) from raw_records) as total_records, (select count(*) from valid) as valid_records,
+ (select count(distinct row_index) from problems) as invalid_records, (select count(*) from problems) as error_count""",
+    ),
     # Metrics
     "met_confusion": with_(BASE, SCORED, CONFUSION, body="select * from confusion"),
     "met_accuracy": with_(BASE, SCORED, CONFUSION, body=f"select {rates('accuracy')} from confusion"),

@@ -320,3 +320,65 @@ def test_replayed_stream_adds_nothing(spark, sf_dir):
         results, _ = streaming.score_stream(streaming.read_records(spark, source, records.schema), linear_scorer)
         streaming.write_stream(results, out, state).awaitTermination()
     assert spark.read.schema(results.schema).parquet(out).groupBy("index").count().filter("count > 1").count() == 0
+
+
+def contents(tables):
+    return [sorted(map(str, table.collect())) for table in (tables.results, tables.errors, tables.summary)]
+
+
+def test_scored_stream_has_all_tables_of_a_batch_run(spark, sf_dir):
+    source, out = scratch_path(spark, "in"), scratch_path(spark, "out")
+    records = stored(t.raw_records(spark, sf_dir), "records")
+    records.repartition(6).write.parquet(source)
+    live = streaming.read_records(spark, source, records.schema, files_per_trigger=2)
+    streaming.write_scored(live, linear_scorer, out, scratch_path(spark, "state")).awaitTermination()
+    tables, whole = streaming.read_scored(spark, out), scoring.score_batch(records, linear_scorer, {"mode": "partial"})
+    assert contents(streaming.StreamTables(tables.results.drop("batch"), tables.errors.drop("batch"), spark.range(0)))[:2] == [
+        sorted(map(str, whole.results.select(*tables.results.drop("batch").columns).collect())),
+        sorted(map(str, whole.errors.collect())),
+    ]
+    rows = tables.summary.collect()
+    assert sorted(r.batch for r in rows) == [0, 1, 2] and {r.status for r in rows} == {"partial"}
+    total = whole.summary.first()
+    for name in ("total_records", "valid_records", "invalid_records", "error_count"):
+        assert sum(r[name] for r in rows) == total[name]
+
+
+def test_replayed_batch_changes_nothing(spark, sf_dir):
+    out = scratch_path(spark, "out")
+    records = stored(t.raw_records(spark, sf_dir), "records")
+    write = streaming.batch_writer(linear_scorer, out)
+    for number, part in enumerate((records.where("row_index < 70"), records.where("row_index >= 70"), records.limit(0))):
+        write(part, number)
+    before = contents(streaming.read_scored(spark, out))
+    write(records.where("row_index >= 70"), 1)
+    assert contents(streaming.read_scored(spark, out)) == before
+    summary = {r.batch: (r.total_records, r.status) for r in streaming.read_scored(spark, out).summary.collect()}
+    assert summary[2] == (0, "success") and summary[0][0] + summary[1][0] == records.count()
+
+
+def test_stream_that_fails_half_way_goes_on_where_it_was(spark, sf_dir, monkeypatch):
+    source, out, state = (scratch_path(spark, n) for n in ("in", "out", "state"))
+    records = stored(t.raw_records(spark, sf_dir), "records")
+    records.repartition(4).write.parquet(source)
+
+    def run():
+        live = streaming.read_records(spark, source, records.schema, files_per_trigger=2)
+        streaming.write_scored(live, linear_scorer, out, state).awaitTermination()
+
+    errors, calls = streaming.error_rows, []
+
+    def fails_once(rows, *mode):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        return errors(rows, *mode)
+
+    monkeypatch.setattr(streaming, "error_rows", fails_once)
+    with pytest.raises(Exception, match="lost"):
+        run()
+    run()
+    tables = streaming.read_scored(spark, out)
+    assert tables.results.count() == scoring.score_batch(records, linear_scorer, {"mode": "partial"}).results.count()
+    assert tables.results.groupBy("index").count().where("count > 1").count() == 0
+    assert sorted(r.batch for r in tables.summary.collect()) == [0, 1]
