@@ -501,9 +501,7 @@ def train_forest(spark, sf_dir):
 
 @query
 def train_gbt(spark, sf_dir):
-    """One of the four settings; `train_grid_search` and `train_run` search them all."""
-    settings = [{"maxIter": 100, "stepSize": 0.1}]
-    return training_facts(spark, sf_dir, lambda train: training.grid_search("Gradient Boosting", train, settings))
+    return training_facts(spark, sf_dir, whole_search("Gradient Boosting"))
 
 
 @query

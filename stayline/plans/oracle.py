@@ -536,7 +536,7 @@ from raw_records""",
             ("train_logistic", "Logistic Regression", 2),
             ("train_tree", "Decision Tree", 6),
             ("train_forest", "Random Forest", 4),
-            ("train_gbt", "Gradient Boosting", 0),
+            ("train_gbt", "Gradient Boosting", 4),
         )
     },
     "train_grid_search": with_(

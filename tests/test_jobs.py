@@ -382,3 +382,53 @@ def test_stream_that_fails_half_way_goes_on_where_it_was(spark, sf_dir, monkeypa
     assert tables.results.count() == scoring.score_batch(records, linear_scorer, {"mode": "partial"}).results.count()
     assert tables.results.groupBy("index").count().where("count > 1").count() == 0
     assert sorted(r.batch for r in tables.summary.collect()) == [0, 1]
+
+
+@pytest.fixture(scope="module")
+def small_matrix(spark):
+    rows = stored(training_rows(spark, "/root/testdata/sf0.01"), "rows")
+    train = jobs.training_matrix(rows, "Churned", "CustomerId").train
+    yield stored(train.filter(F.xxhash64("features") % 3 == 0), "matrix")
+
+
+def plain_auc(pairs):
+    """Share of (positive, negative) pairs in the right order, ties a half."""
+    good, bad = [p for p, y in pairs if y == 1], [p for p, y in pairs if y != 1]
+    return sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad))
+
+
+def test_short_boosting_is_the_beginning_of_a_long_one(small_matrix):
+    def scores(model):
+        return [tuple(r) for r in model.transform(small_matrix).select("rawPrediction", "probability", "prediction").collect()]
+
+    long = training.estimator("Gradient Boosting", {"maxIter": 12, "stepSize": 0.1}, 1).fit(small_matrix)
+    for rounds in (1, 5, 12):
+        short = training.estimator("Gradient Boosting", {"maxIter": rounds, "stepSize": 0.1}, 1).fit(small_matrix)
+        assert scores(training.first_rounds(long, rounds)) == scores(short)
+
+
+@pytest.mark.parametrize(
+    "name, values",
+    [("Logistic Regression", {"C": [0.001, 1.0]}), ("Decision Tree", {"maxDepth": [2, 4]}), ("Gradient Boosting", {"maxIter": [2, 8], "stepSize": [0.05, 0.2]})],
+)
+def test_search_agrees_with_plain_refits(small_matrix, name, values):
+    grid = training.settings_grid(values)
+    found = training.grid_search(name, small_matrix, grid)
+    means = []
+    for settings in grid:
+        folds = []
+        for fold in range(3):
+            seen, left = small_matrix.filter(F.col("fold") != fold), small_matrix.filter(F.col("fold") == fold)
+            model = training.estimator(name, settings, seen.count()).fit(seen)
+            folds.append(plain_auc([(r[0][1], r[1]) for r in model.transform(left).select("probability", "label").collect()]))
+        means.append(sum(folds) / 3)
+    assert found.cv_scores == pytest.approx(means, abs=1e-9)
+    best = max(range(len(grid)), key=lambda i: (round(means[i], 12), -i))
+    assert found.settings == grid[best] and found.cv_roc_auc == pytest.approx(means[best], abs=1e-9)
+
+
+def test_boosting_settings_share_fits():
+    grid = training.settings_grid(training.FULL_GRIDS["Gradient Boosting"])
+    assert [grid[j]["maxIter"] for j in training.staged("Gradient Boosting", grid).values()] == [200] * 4
+    assert len(set(training.staged("Gradient Boosting", grid).values())) == 2
+    assert training.staged("Random Forest", grid) == {0: 0, 1: 1, 2: 2, 3: 3}
