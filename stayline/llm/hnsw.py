@@ -20,6 +20,17 @@ INSERT_BATCH = 512
 STEP_NODES = 4  # nodes that a search opens at once
 
 
+def one_length(points: np.ndarray) -> np.ndarray:
+    """The vectors over the longest one's length, with one more component that brings all to length 1.
+
+    The largest component is divided out first, so no square overflows. Within
+    one band of lengths the added component never swamps the others.
+    """
+    points = points / np.abs(points).max()
+    points = points / np.sqrt((points * points).sum(axis=1).max())
+    return np.hstack((points, np.sqrt(np.maximum(1 - (points * points).sum(axis=1), 0))[:, None]))
+
+
 class Graph:
     """A small-world graph over vectors in layers, each layer a flat array of neighbours (-1: none).
 
@@ -29,8 +40,7 @@ class Graph:
     """
 
     def __init__(self, points: np.ndarray, seed: int = 3, links: int = LINKS, beam: int = BUILD_BEAM):
-        square = (points * points).sum(axis=1)
-        self.points = np.hstack((points, np.sqrt(np.maximum(square.max() - square, 0))[:, None])).astype(np.float32)
+        self.points = one_length(points)
         n = len(points)
         rng = np.random.default_rng(seed)
         self.levels = np.minimum((-np.log(1 - rng.random(n)) / np.log(links)).astype(int), 8)
@@ -47,8 +57,7 @@ class Graph:
     @classmethod
     def stored(cls, points: np.ndarray, entry: int, layers: list[np.ndarray]) -> Graph:
         graph = cls.__new__(cls)
-        square = (points * points).sum(axis=1)
-        graph.points = np.hstack((points, np.sqrt(np.maximum(square.max() - square, 0))[:, None])).astype(np.float32)
+        graph.points = one_length(points)
         graph.entry, graph.layers = entry, layers
         return graph
 
@@ -62,7 +71,7 @@ class Graph:
         q = len(queries)
         rows = np.arange(q)[:, None]
         nodes = np.full((q, beam), -1, dtype=np.int64)
-        gaps = np.full((q, beam), np.inf, dtype=np.float32)
+        gaps = np.full((q, beam), np.inf)
         opened = np.ones((q, beam), dtype=bool)
         starts = starts[:, :beam]
         width = starts.shape[1]
@@ -91,7 +100,7 @@ class Graph:
             seen[live[:, None], near] = True
             found = self.away(queries[live], near)
             all_nodes = np.hstack((nodes[live], near))
-            all_gaps = np.hstack((gaps[live], found.astype(np.float32)))
+            all_gaps = np.hstack((gaps[live], found))
             all_open = np.hstack((opened[live], near < 0))
             best = np.argsort(all_gaps, axis=1, kind="stable")[:, :beam]
             nodes[live] = np.take_along_axis(all_nodes, best, axis=1)
@@ -105,7 +114,7 @@ class Graph:
         width = nodes.shape[1]
         points = self.points[nodes]
         chosen = np.zeros(nodes.shape, dtype=bool)
-        to_chosen = np.full(nodes.shape, np.inf, dtype=np.float32)
+        to_chosen = np.full(nodes.shape, np.inf)
         count = np.zeros(len(nodes), dtype=int)
         for at in range(width):
             take = (gaps[:, at] < to_chosen[:, at]) & np.isfinite(gaps[:, at]) & (count < most)
@@ -170,7 +179,8 @@ class Graph:
 
     def search(self, queries: np.ndarray, beam: int) -> np.ndarray:
         """Nodes near each query by inner product, nearest first; -1 fills up."""
-        queries = np.hstack((queries, np.zeros((len(queries), 1)))).astype(np.float32)
+        queries = queries / np.abs(queries).max(axis=1, keepdims=True)
+        queries = np.hstack((queries / np.sqrt((queries * queries).sum(axis=1, keepdims=True)), np.zeros((len(queries), 1))))
         out = []
         for at in range(0, len(queries), 256):
             part = queries[at : at + 256]
@@ -185,10 +195,16 @@ def build(points: DataFrame, shard_rows: int = SHARD_ROWS, seed: int = 3) -> Dat
     """One row per shard: its distinct vectors, the ids of each, and its graph, all as flat arrays.
 
     Shards are dealt by a hash of the vector and hold about `shard_rows`
-    vectors of one dimension. `points` has embedding and ids, as
-    `distinct_vectors` makes them.
+    vectors of one dimension and one band of lengths, each band reaching to
+    twice its shortest, so a few long vectors do not blur the others. `points`
+    has embedding and ids, as `distinct_vectors` makes them.
     """
-    shards = max(1, -(-points.count() // shard_rows))
+    largest = F.array_max(F.transform("embedding", F.abs))
+    square = F.aggregate("embedding", F.lit(0.0), lambda total, x: total + (x / F.col("largest")) * (x / F.col("largest")))
+    # The shift keeps lengths around 1 in one band.
+    banded = points.withColumn("dim", F.size("embedding")).withColumn("largest", largest)
+    banded = banded.withColumn("band", F.floor(F.log2("largest") + F.log2(square) / 2 + 0.37).cast("int")).drop("largest")
+    sizes = banded.groupBy("dim", "band").agg(F.ceil(F.count("*") / shard_rows).alias("shards"))
 
     def graph_of(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("vec_id")
@@ -196,6 +212,7 @@ def build(points: DataFrame, shard_rows: int = SHARD_ROWS, seed: int = 3) -> Dat
         graph = Graph(vectors, seed)
         ids = [np.asarray(x, dtype=np.int64) for x in rows["ids"]]
         return pd.DataFrame([{
+            "band": int(rows["band"].iloc[0]),
             "shard": int(rows["shard"].iloc[0]),
             "dim": vectors.shape[1],
             "vectors": vectors.astype("<f8").tobytes(),
@@ -205,9 +222,9 @@ def build(points: DataFrame, shard_rows: int = SHARD_ROWS, seed: int = 3) -> Dat
             "layers": [layer.astype("<i4").tobytes() for layer in graph.layers],
         }])
 
-    keyed = points.withColumn("dim", F.size("embedding")).withColumn("shard", F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int"))
-    schema = "shard int, dim int, vectors binary, ids binary, id_counts binary, entry int, layers array<binary>"
-    return keyed.groupBy("dim", "shard").applyInPandas(graph_of, schema)
+    keyed = banded.join(sizes, ["dim", "band"]).withColumn("shard", F.pmod(F.xxhash64("embedding"), "shards").cast("int")).drop("shards")
+    schema = "band int, shard int, dim int, vectors binary, ids binary, id_counts binary, entry int, layers array<binary>"
+    return keyed.groupBy("dim", "band", "shard").applyInPandas(graph_of, schema)
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, beam: int = SEARCH_BEAM, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -223,7 +240,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, beam: int = SEARCH
     empty and may have other columns.
     """
     index = stored(build(distinct_vectors(usable(rows), k + 1), shard_rows), "graphs")
-    shards = index.select(F.col("dim").alias("of_dim"), F.col("shard").alias("to_shard")).distinct()
+    shards = index.select(F.col("dim").alias("of_dim"), F.col("band").alias("to_band"), F.col("shard").alias("to_shard")).distinct()
     asked = usable(queries).withColumn("dim", F.size("embedding"))
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
@@ -255,6 +272,6 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, beam: int = SEARCH
             out.append(pd.DataFrame({"query_id": query_id, "vec_id": own[top], "score": score[top]}))
         return pd.concat(out)
 
-    pairs = graphs.groupBy("dim", "shard", "block").cogroup(asked.groupBy("of_dim", "to_shard", "block")).applyInPandas(search, "query_id long, vec_id long, score double")
+    pairs = graphs.groupBy("dim", "band", "shard", "block").cogroup(asked.groupBy("of_dim", "to_band", "to_shard", "block")).applyInPandas(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -52,6 +52,27 @@ def test_neighbours(spark, shard_rows):
     assert hits / total > 0.97
 
 
+@pytest.mark.parametrize("odd", [{3: 1e4}, {3: 1e8}, {3: 1e4, 8: 1e-6, 9: 1e-9}, None])
+def test_vectors_of_unlike_length(spark, odd):
+    """A few long or short vectors, or all of a huge length, leave the neighbours of the others as they are."""
+    rng = np.random.default_rng(11)
+    vectors = rng.normal(size=(1500, 24))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    for at, factor in (odd or {}).items():
+        vectors[at] *= factor
+    vectors = vectors * (1e150 if odd is None else 1)
+    df = spark.createDataFrame([(i, v.tolist(), 0, "x", 1) for i, v in enumerate(vectors)], SCHEMA.replace("<float>", "<double>"))
+    out = hnsw.nearest(df, df.where("vec_id % 20 = 0"), shard_rows=600).collect()
+    hits = 0
+    for q in range(0, 1500, 20):
+        scores = (vectors * vectors[q]).sum(axis=1)
+        scores[q] = -np.inf
+        got = [r.vec_id for r in sorted((r for r in out if r.query_id == q), key=lambda r: r["rank"])]
+        assert len(got) == 20 and [scores[i] for i in got] == sorted((scores[i] for i in got), reverse=True)
+        hits += len(set(got) & set(np.argsort(-scores, kind="stable")[:20].tolist()))
+    assert hits / (75 * 20) > 0.95
+
+
 def test_no_rows(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert hnsw.nearest(empty, empty).count() == 0
