@@ -87,11 +87,11 @@ def op13_exact_text_alignment(spark, sf_dir):
 
 
 ORACLE["op1_warc_transactions"] = """
-with p as (select page_id, url, coalesce(html, '') as html from pages),
-d as (select distinct page_id, url, html, strlen(html) as n, sha1(html) as digest from p),
-k as (select digest, n, max(page_id) as keep, count(*) as c from d where n >= 1000 group by all)
-select d.page_id, d.url, d.n as payload_bytes, d.digest as payload_digest,
-  case when k.c > 1 and d.page_id <> k.keep then 'revisit' else 'response' end as record_type,
-  case when k.c > 1 and d.page_id <> k.keep then k.keep end as refers_to
-from d left join k on d.digest = k.digest and d.n = k.n
+with d as (select page_id, url, strlen(coalesce(html, '')) as n, sha1(coalesce(html, '')) as digest from pages),
+r as (select *, row_number() over (partition by digest, n order by page_id desc nulls last, url desc nulls last) as place,
+  max(page_id) over (partition by digest, n) as keep from d)
+select page_id, url, n as payload_bytes, digest as payload_digest,
+  case when n >= 1000 and place > 1 then 'revisit' else 'response' end as record_type,
+  case when n >= 1000 and place > 1 then keep end as refers_to
+from r
 """

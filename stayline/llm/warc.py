@@ -24,8 +24,11 @@ RECORDS_PER_FILE = 12_000
 
 
 def record_id(kind: str) -> Column:
-    """A urn:uuid made from what identifies the page version, so that reruns and retries agree."""
-    name = F.md5(F.concat_ws("\u0001", F.lit(kind), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit("\u0002")), "digest"))
+    """A urn:uuid made from what identifies the row, so that reruns and retries agree.
+
+    Where the table repeats a row, its place in the table tells the copies apart.
+    """
+    name = F.md5(F.concat_ws("\u0001", F.lit(kind), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit("\u0002")), "digest", "copy"))
     parts = [F.substring(name, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
@@ -47,23 +50,27 @@ def versions(pages: DataFrame) -> DataFrame:
     """Pages with the digest and length of their payload, and the version each one repeats.
 
     Of pages with equal payloads of at least 1000 bytes the one with the
-    largest (page_id, url) is the response; the others refer to it. Digests
-    are counted before any join, and only those held by several page versions
-    are joined, so unique payloads cost no row there.
+    largest (page_id, url) is the response; the others refer to it. Of a row
+    that the table repeats the last is taken first, and the others have a
+    `copy`, so none of them is lost. Digests are counted before any join, and
+    only those held by several rows are joined, so unique payloads cost no row
+    there.
     """
     body = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", body.alias("html"), F.octet_length(body).cast("long").alias("n_bytes"), F.sha1(body.cast("binary")).alias("digest"))
-    keep = F.max(F.struct("page_id", "url"))
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
     repeated = (
-        rows.where(F.col("n_bytes") >= MIN_REVISIT_BYTES)
+        rows.groupBy("digest", "n_bytes", "page_id", "url")
+        .agg(F.max("row").alias("row"), F.count("*").alias("n"))
         .groupBy("digest", "n_bytes")
-        .agg(keep.alias("keep"), F.count("*").alias("n"))
-        .where("n > 1")
-        .select(F.col("digest").alias("r_digest"), F.col("n_bytes").alias("r_bytes"), F.col("keep.page_id").alias("r_page"), F.col("keep.url").alias("r_url"))
+        .agg(F.max(F.struct("page_id", "url", "row")).alias("keep"), F.sum("n").alias("n"), (F.sum("n") - F.count("*")).alias("surplus"))
+        .where((F.col("n") > 1) & ((F.col("n_bytes") >= MIN_REVISIT_BYTES) | (F.col("surplus") > 0)))
+        .select(F.col("digest").alias("r_digest"), F.col("n_bytes").alias("r_bytes"), F.col("keep.page_id").alias("r_page"), F.col("keep.url").alias("r_url"), F.col("keep.row").alias("r_row"), "surplus")
     )
     joined = rows.join(repeated, (rows["digest"] == repeated["r_digest"]) & (rows["n_bytes"] == repeated["r_bytes"]), "left")
-    again = F.col("r_digest").isNotNull() & ~(F.col("page_id").eqNullSafe(F.col("r_page")) & F.col("url").eqNullSafe(F.col("r_url")))
-    return joined.withColumn("again", again)
+    other = F.col("r_digest").isNotNull() & (F.col("row") != F.col("r_row"))
+    copy = F.when(other & (F.col("surplus") > 0), F.col("row").cast("string")).otherwise("")
+    return joined.withColumns({"again": other & (F.col("n_bytes") >= MIN_REVISIT_BYTES), "copy": copy})
 
 
 def write_pages(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", records_per_file: int = RECORDS_PER_FILE) -> None:
@@ -83,7 +90,7 @@ def write_pages(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z",
     # The id of the version referred to is the same function of its own page_id and url.
     rows = rows.withColumns({"own": own, "request": request, "meta": meta}).withColumn("first", F.struct(*first))
     refers = rows.select("*", F.col("first.page_id").alias("f_page"), F.col("first.url").alias("f_url")).drop("first")
-    refers = refers.withColumnsRenamed({"page_id": "p_page", "url": "p_url", "f_page": "page_id", "f_url": "url"}).withColumn("refers", record_id("response"))
+    refers = refers.withColumnsRenamed({"page_id": "p_page", "url": "p_url", "f_page": "page_id", "f_url": "url"}).withColumn("copy", F.lit("")).withColumn("refers", record_id("response"))
     rows = refers.drop("page_id", "url").withColumnsRenamed({"p_page": "page_id", "p_url": "url"})
     response_type = header("Content-Type", "application/http;msgtype=response")
     main = F.when(
@@ -224,8 +231,8 @@ def archived_pages(pages: DataFrame, path: str) -> DataFrame:
 
     Returns page_id, url, payload_bytes, payload_digest, record_type and
     refers_to. A null html is an empty payload; a null
-    page_id or url stays null; rows equal in page_id, url and html are one
-    capture. Empty input gives no rows.
+    page_id or url stays null; every repeated row is a capture of its own.
+    Empty input gives no rows.
     """
     spark = pages.sparkSession
     write_pages(pages, path)

@@ -38,6 +38,18 @@ def test_round_trip_against_plain_python(spark):
         assert out.refers_to == (9 if again else None)
 
 
+def test_repeated_rows_are_records_of_their_own(spark):
+    rows = [(1, "http://a.example", "small", "k")] * 3 + [(2, "http://a.example", BIG, "k")] * 3 + [(1, None, BIG, "k")] * 2 + [(None, None, None, "k")] * 2
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, row string").repartition(4)
+    path = scratch_path(spark, "w")
+    out = warc.archived_pages(df, path).groupBy("page_id", "record_type", "refers_to").count().collect()
+    assert {(r.page_id, r.record_type, r.refers_to): r["count"] for r in out} == {
+        (1, "response", None): 3, (2, "response", None): 1, (2, "revisit", 2): 2, (1, "revisit", 2): 2, (None, "response", None): 2
+    }
+    ids = [r.record_id for r in warc.read_records(spark, path).collect()]
+    assert len(ids) == len(set(ids)) == 3 * len(rows)
+
+
 def test_empty_table(spark):
     assert warc.archived_pages(pages(spark).limit(0), scratch_path(spark, "w")).count() == 0
 
