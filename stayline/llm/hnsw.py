@@ -204,7 +204,8 @@ def build(points: DataFrame, shard_rows: int = SHARD_ROWS, seed: int = 3) -> Dat
     # The shift keeps lengths around 1 in one band.
     banded = points.withColumn("dim", F.size("embedding")).withColumn("largest", largest)
     banded = banded.withColumn("band", F.floor(F.log2("largest") + F.log2(square) / 2 + 0.37).cast("int")).drop("largest")
-    sizes = banded.groupBy("dim", "band").agg(F.ceil(F.count("*") / shard_rows).alias("shards"))
+    sizes = stored(banded.groupBy("dim", "band").agg(F.ceil(F.count("*") / shard_rows).alias("shards")), "sizes")
+    tasks = 4 * (sizes.agg(F.sum("shards")).first()[0] or 1)  # so that graphs, which take long, seldom share a task
 
     def graph_of(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("vec_id")
@@ -224,7 +225,7 @@ def build(points: DataFrame, shard_rows: int = SHARD_ROWS, seed: int = 3) -> Dat
 
     keyed = banded.join(sizes, ["dim", "band"]).withColumn("shard", F.pmod(F.xxhash64("embedding"), "shards").cast("int")).drop("shards")
     schema = "band int, shard int, dim int, vectors binary, ids binary, id_counts binary, entry int, layers array<binary>"
-    return keyed.groupBy("dim", "band", "shard").applyInPandas(graph_of, schema)
+    return keyed.repartition(tasks, "dim", "band", "shard").groupBy("dim", "band", "shard").applyInPandas(graph_of, schema)
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, beam: int = SEARCH_BEAM, shard_rows: int = SHARD_ROWS) -> DataFrame:
