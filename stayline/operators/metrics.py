@@ -121,13 +121,19 @@ def lift_curve(
     by: Sequence[str] = (),
     histogram: DataFrame | None = None,
 ) -> DataFrame:
-    """Precision, recall and lift among the k best rows, equal scores ordered by id."""
+    """Precision, recall and lift among the k best rows, equal scores ordered by id.
+
+    `kind` tells a share from a count of the same value, such as 1.0 and 1.
+    """
     if histogram is None:
         histogram = score_histogram(df, label, score, by)
     total = F.col("total_n")
     # Without positives recall and lift are 0 whatever k is; k is checked for precision.
     wanted = F.array(
-        *[F.struct(F.lit(i).alias("no"), F.lit(float(k)).alias("k"), rows_at_k(k, total).alias("size")) for i, k in enumerate(k_values)]
+        *[
+            F.struct(F.lit(i).alias("no"), F.lit(float(k)).alias("k"), F.lit("share" if isinstance(k, float) else "count").alias("kind"), rows_at_k(k, total).alias("size"))
+            for i, k in enumerate(k_values)
+        ]
     )
     first = F.col("cum_n") - F.col("n")
     cuts = histogram.withColumn(
@@ -137,6 +143,7 @@ def lift_curve(
         "score",
         F.col("cut.no").alias("no"),
         F.col("cut.k").alias("k"),
+        F.col("cut.kind").alias("kind"),
         F.col("cut.size").alias("size"),
         (F.col("cut.size") - first).alias("need"),
         "n",
@@ -162,6 +169,7 @@ def lift_curve(
     return found.select(
         *by,
         "k",
+        "kind",
         "size",
         precision.alias("precision_at_k"),
         F.coalesce(ratio(F.col("hits"), F.col("total_pos")), F.lit(0.0)).alias("recall_at_k"),

@@ -683,7 +683,7 @@ def met_resolve_k(spark, sf_dir):
 
 @query
 def met_at_k(spark, sf_dir):
-    return _lift(spark, sf_dir, [0.1, 25])
+    return _lift(spark, sf_dir, [0.1, 1.0, 1, 25])
 
 
 @query

@@ -256,9 +256,9 @@ def lift_sql(score: str, sizes: str) -> str:
         f"""ranked as (select "Churned" as y, row_number() over (order by {score} desc, "CustomerId") as r,
   count(*) over () as n, sum("Churned") over () as p from scored)""",
         f"ks(k, kind) as (values {sizes})",
-        """cuts as (select k, cast(case when kind = 'share' then greatest(1, ceil(n*k)) else k end as bigint) as size, n, p
+        """cuts as (select k, kind, cast(case when kind = 'share' then greatest(1, ceil(n*k)) else k end as bigint) as size, n, p
   from ks, (select max(n) n, max(p) p from ranked))""",
-        body="""select k, size, round(hits/cast(size as double),6) as precision_at_k,
+        body="""select k, kind, size, round(hits/cast(size as double),6) as precision_at_k,
  round(hits/cast(p as double),6) as recall_at_k, round((hits/cast(size as double))/(p/cast(n as double)),6) as lift_at_k
 from (select cuts.*, (select sum(y) from ranked where r <= cuts.size) as hits from cuts)""",
     )
@@ -636,7 +636,7 @@ from tried""",
     "met_average_precision": with_(BASE, SCORED, HIST, body=f"select round({AP},6) as pr_auc from run"),
     "met_resolve_k": """select c_mktsegment as segment, count(*) as n_rows, cast(greatest(1, ceil(count(*)*0.01e0)) as bigint) as k01,
  cast(ceil(count(*)*0.3e0) as bigint) as k30, count(*) as k100, cast(7 as bigint) as seven from customer group by 1""",
-    "met_at_k": lift_sql("p_churn", "(0.1e0,'share'),(25e0,'count')"),
+    "met_at_k": lift_sql("p_churn", "(0.1e0,'share'),(1e0,'share'),(1e0,'count'),(25e0,'count')"),
     "met_lift_curve": lift_sql("p_churn", SHARES),
     "met_lift_ties": lift_sql("round(p_churn,1)", SHARES),
     "met_report": with_(

@@ -169,3 +169,9 @@ def test_null_groups_and_scores_that_are_no_numbers(spark):
     assert len(confused) == 2 and all(r.tn + r.fp + r.fn + r.tp == 40 for r in confused)
     curve = metrics.lift_curve(df, "label", "score", "id", [0.1, 7], ["g"]).collect()
     assert len(curve) == 4 and {r.g for r in curve} == {"a", None}
+
+
+def test_lift_tells_counts_from_shares(spark):
+    df = scores(spark, [1, 0, 1, 0], [0.9, 0.8, 0.7, 0.6])
+    found = {(r.k, r.kind): (r["size"], r.recall_at_k) for r in metrics.lift_curve(df, "y", "s", "id", [1, 1.0, 2]).collect()}
+    assert found == {(1.0, "count"): (1, 0.5), (1.0, "share"): (4, 1.0), (2.0, "count"): (2, 0.5)}
