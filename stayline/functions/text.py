@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 import string
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -191,9 +191,22 @@ def context_lines(context: Column) -> Column:
     return F.nullif(F.array_join(lines, "\n"), F.lit(""))
 
 
-def with_context(prompt: Column, context: Column) -> Column:
+def picker_lines(context: Column) -> Column:
+    """`key: value` lines of trimmed, non-blank keys and values; of keys alike after trimming the first has the last one's value."""
+    entries = F.transform(F.map_entries(context), lambda e: F.struct(strip_or_null(e["key"]).alias("key"), strip_or_null(e["value"]).alias("value")))
+    entries = F.filter(entries, lambda e: e["key"].isNotNull() & e["value"].isNotNull())
+    keys = F.transform(entries, lambda e: e["key"])
+
+    def line(entry: Column, place: Column) -> Column:
+        last = F.element_at(F.filter(entries, lambda x: x["key"] == entry["key"]), -1)["value"]
+        return F.when(F.array_position(keys, entry["key"]) == place + 1, F.concat(entry["key"], F.lit(": "), last))
+
+    return F.nullif(F.array_join(F.transform(entries, line), "\n"), F.lit(""))
+
+
+def with_context(prompt: Column, context: Column, lines: Callable[[Column], Column] = context_lines) -> Column:
     """A prompt followed by its context block, if there is one."""
-    block = context_lines(context)
+    block = lines(context)
     return F.when(block.isNull(), strip(prompt)).otherwise(
         F.concat(strip(prompt), F.lit("\n\nContext:\n"), block)
     )
@@ -209,7 +222,7 @@ def picker_prompt(drafts: list[Column], context: Column) -> Column:
     ]
     for number, draft in enumerate(drafts, start=1):
         parts += [F.lit(f"\n\nDraft {number}:\n"), draft]
-    return with_context(F.concat(*parts), context)
+    return with_context(F.concat(*parts), context, picker_lines)
 
 
 def python_quoted(text: Column) -> Column:

@@ -941,6 +941,16 @@ def txt_context_block(spark, sf_dir):
     return rows.select("index", text.with_context(F.lit(" Write to them. "), context).alias("prompt"))
 
 
+@query
+def txt_picker_prompt(spark, sf_dir):
+    """Three drafts to choose from, with context keys that are blank, padded or alike after trimming."""
+    rows = t.batch_results(spark, sf_dir)
+    again = F.when(F.col("index") % 4 == 0, " again ")
+    context = F.create_map(F.lit(" name "), F.col("name"), F.lit("  "), F.lit("no key"), F.lit("action"), F.col("recommended_action"), F.lit("name"), again)
+    drafts = [F.lit("First draft."), F.concat(F.lit("Second draft "), F.col("index").cast("string")), F.lit("Third draft.")]
+    return rows.select("index", text.picker_prompt(drafts, context).alias("prompt"))
+
+
 # --- Outreach and reports ---------------------------------------------------------------------------------------
 
 

@@ -784,6 +784,14 @@ from contact where p between 0 and 1 and email is not null""",
         body=r"""select "index", concat(E'Write to them.\n\nContext:\ncompany_name: Example Co',
  case when "index" % 3 <> 0 and name is not null then concat(E'\nname: ', name) else '' end,
  case when "index" % 3 <> 0 and action is not null then concat(E'\naction: ', action) else '' end) as prompt from clean""",
+    ),
+    "txt_picker_prompt": with_(
+        *RESULT_VIEWS,
+        body=r"""select "index", concat(E'Pick the strongest draft for cold sales/retention outreach.
+Return exactly one full draft body from the options below with no extra text.\n\nDraft 1:\nFirst draft.\n\nDraft 2:\nSecond draft ', "index",
+ E'\n\nDraft 3:\nThird draft.', case when name is not null or action is not null or "index" % 4 = 0 then E'\n\nContext:\n' else '' end,
+ concat_ws(E'\n', case when name is not null then concat('name: ', case when "index" % 4 = 0 then 'again' else name end) end,
+ case when action is not null then concat('action: ', action) end, case when name is null and "index" % 4 = 0 then 'name: again' end)) as prompt from clean""",
     ),
     # Outreach and reports
     "out_recipients": with_(*RESULT_VIEWS, body='select "index", id, email, name, email is null as skipped from contact'),

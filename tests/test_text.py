@@ -141,3 +141,12 @@ def test_line_rules_on_random_text(spark, values):
     assert got == ["\n".join(lines_kept(v, True)).strip() for v in values]
     stripped = apply(spark, lambda t: F.coalesce(text.strip(t), F.lit("")), *values)
     assert stripped == [v.strip() for v in values]
+
+
+def test_picker_context_keys(spark):
+    row = spark.range(1).select(
+        text.picker_lines(F.create_map(*[F.lit(x) for x in (" b ", " 1 ", "a", "  ", "  ", "x", "c", "2", "b", "3")])).alias("lines"),
+        text.picker_lines(F.create_map(F.lit(" "), F.lit("x"))).alias("none"),
+        text.picker_lines(F.lit(None).cast("map<string,string>")).alias("null"),
+    ).first()
+    assert (row["lines"], row["none"], row["null"]) == ("b: 3\nc: 2", None, None)
