@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import add, or_
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from stayline.fields import BATCH_MODES, NUMERIC_FEATURES, REQUIRED_FIELDS
 from stayline.functions.numbers import number_from_text
 from stayline.functions.text import python_quoted, strip_or_null
+from stayline.session import stored
 
 
 def check_mode(mode: str) -> str:
@@ -117,16 +118,29 @@ def checked(records: DataFrame) -> DataFrame:
     )
 
 
+def verdicts(rows: DataFrame) -> DataFrame:
+    """Position, verdict and number of problems of checked rows, written once.
+
+    Counts, the first bad row and summaries are then read from three narrow
+    columns, and no record is parsed a second time for them.
+    """
+    return stored(rows.select("row_index", "bad", "n_problems"), "verdicts")
+
+
 def first_bad_row(rows: DataFrame) -> Column:
-    """Position of the first bad row as a scalar subquery, null when all are fine."""
+    """Position of the first bad row of checked rows or verdicts as a scalar subquery, null when all are fine."""
     return rows.filter("bad").agg(F.min("row_index").alias("first_bad")).scalar()
 
 
-def error_rows(rows: DataFrame, mode: str = "partial") -> DataFrame:
-    """One row per problem of checked rows; fail_fast stops at the first bad row."""
-    wanted = rows.filter("bad")
+def error_rows(rows: DataFrame, mode: str = "partial", judged: DataFrame | None = None) -> DataFrame:
+    """One row per problem of checked rows; fail_fast stops at the first bad row.
+
+    With the verdicts at hand, fail_fast parses that row alone.
+    """
+    wanted = rows
     if check_mode(mode) == "fail_fast":
-        wanted = wanted.filter(F.col("row_index") == first_bad_row(rows))
+        wanted = wanted.filter(F.col("row_index") == first_bad_row(rows if judged is None else judged))
+    wanted = wanted.filter("bad")
     missing = wanted.withColumn("missing", missing_problems(rows))
     problems = F.when(F.size("missing") > 0, F.col("missing")).otherwise(numeric_problems(rows))
     # Bad rows have a problem each. The outer form keeps Spark from testing that first,
@@ -136,11 +150,12 @@ def error_rows(rows: DataFrame, mode: str = "partial") -> DataFrame:
     )
 
 
-def valid_rows(rows: DataFrame, mode: str = "partial") -> DataFrame:
+def valid_rows(rows: DataFrame, mode: str = "partial", judged: DataFrame | None = None) -> DataFrame:
     """Checked rows without problems, numbers cast; fail_fast gives none when any row is bad."""
-    good = rows.filter(~F.col("bad"))
+    good = rows
     if check_mode(mode) == "fail_fast":
-        good = good.filter(first_bad_row(rows).isNull())
+        good = good.filter(first_bad_row(rows if judged is None else judged).isNull())
+    good = good.filter(~F.col("bad"))
     kept = [c for c in rows.columns if c not in {"bad", "n_problems", *map(_parsed, NUMERIC_FEATURES)}]
     return good.select(*[F.col(_parsed(c)).alias(c) if c in NUMERIC_FEATURES else F.col(c) for c in kept])
 
@@ -169,6 +184,28 @@ def summary(rows: DataFrame, mode: str = "partial") -> DataFrame:
     return rows.agg(*summary_counts(seen)).withColumn("mode", F.lit(mode))
 
 
+def summaries(judged: DataFrame, cases: Mapping[str, Column], modes: Sequence[str] = BATCH_MODES) -> DataFrame:
+    """The summary of every case (a condition on the verdicts) in every mode, from two scans of the verdicts.
+
+    The first scan finds where each case stops, the second counts for all of them.
+    """
+    stops = judged.agg(
+        F.struct(*[F.min(F.when(kept & F.col("bad"), F.col("row_index"))).alias(f"_{i}") for i, kept in enumerate(cases.values())])
+    ).scalar()
+    rows = []
+    for i, (name, kept) in enumerate(cases.items()):
+        for mode in map(check_mode, modes):
+            seen = kept
+            if mode == "fail_fast":
+                stop = stops[f"_{i}"]
+                seen = kept & (stop.isNull() | (F.col("row_index") <= stop))
+            _, *counted = summary_counts(seen)
+            rows.append(
+                F.struct(F.lit(name).alias("records"), F.count_if(kept).alias("total_records"), *counted, F.lit(mode).alias("mode"))
+            )
+    return judged.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+
+
 def with_status(summaries: DataFrame) -> DataFrame:
     """Add the batch status to summary rows."""
     has_errors = F.col("error_count") > 0

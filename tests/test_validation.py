@@ -168,3 +168,22 @@ def test_probability_sources(spark):
     assert neither.select(probability_source(neither)).first()[0] is None
     odd = spark.createDataFrame([(float("nan"),), (1.01,), (-0.1,), (0.0,), (1.0,)], "p double")
     assert [r[0] for r in odd.select(unit_probability(odd, "p")).collect()] == [None, None, None, 0.0, 1.0]
+
+
+def test_summaries_of_many_cases_equal_one_by_one(spark):
+    df = records(spark, {}, {"Age": "x"}, {}, {"Gender": "", "Age": None}, {"Balance": "nan"}, {})
+    checked = validation.checked(df)
+    cases = {"all": F.lit(True), "late": F.col("row_index") >= 2, "good": ~F.col("bad"), "none": F.col("row_index") < 0}
+    found = validation.summaries(validation.verdicts(checked), cases).collect()
+    got = {(r["records"], r["mode"]): {k: v for k, v in r.asDict().items() if k != "records"} for r in found}
+    assert len(got) == 8
+    for (name, mode), row in got.items():
+        assert row == validation.summary(checked.filter(cases[name]), mode).first().asDict()
+
+
+def test_fail_fast_with_verdicts_at_hand(spark):
+    checked = validation.checked(records(spark, {}, {"Age": "x"}, {"Age": "y"}))
+    judged = validation.verdicts(checked)
+    assert [r["row_index"] for r in validation.error_rows(checked, "fail_fast", judged).collect()] == [1]
+    assert validation.valid_rows(checked, "fail_fast", judged).count() == 0
+    assert validation.valid_rows(checked.filter("row_index = 0"), "fail_fast", judged.filter("row_index = 0")).count() == 1
