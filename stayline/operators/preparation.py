@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from math import sqrt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from stayline.fields import CATEGORICAL_FEATURES, FEATURES, ID_COLUMNS, NUMERIC_FEATURES, REQUIRED_FIELDS
 from stayline.functions.numbers import finite
-from stayline.operators.quantiles import exact_medians
+from stayline.operators.quantiles import Profile, exact_medians, profiles
 from stayline.session import stored
 
 
@@ -137,8 +138,10 @@ class Preparation:
         return made.select(*df.columns, column)
 
 
-def fit_medians(train: DataFrame, columns: Sequence[str] = NUMERIC_FEATURES) -> dict[str, float]:
-    medians = exact_medians(train, columns)
+def fit_medians(
+    train: DataFrame, columns: Sequence[str] = NUMERIC_FEATURES, known: Mapping[str, Profile] | None = None
+) -> dict[str, float]:
+    medians = exact_medians(train, columns, known)
     empty = [c for c, m in medians.items() if m is None]
     if empty:
         raise ValueError(f"no values to take a median of: {', '.join(empty)}")
@@ -159,25 +162,28 @@ def fit_categories(train: DataFrame, columns: Sequence[str] = CATEGORICAL_FEATUR
     return {c: sorted(levels) for c, levels in found.items()}
 
 
-def fit_scaler(
-    train: DataFrame, medians: Mapping[str, float], columns: Sequence[str] = NUMERIC_FEATURES
-) -> tuple[dict[str, float], dict[str, float]]:
-    """Mean and population deviation of the imputed columns, in one pass."""
+def fit_numbers(
+    train: DataFrame, columns: Sequence[str] = NUMERIC_FEATURES
+) -> tuple[dict[str, float], dict[str, float], dict[str, float]]:
+    """Medians, and mean and population deviation of the columns once gaps hold the median.
 
-    def value(c: str) -> Column:
-        return F.coalesce(finite(F.col(c)), F.lit(medians[c]))
-
-    row = train.agg(
-        *[F.avg(value(c)).alias(f"{c}_mean") for c in columns],
-        *[F.stddev_pop(value(c)).alias(f"{c}_std") for c in columns],
-    ).first()
-    return {c: row[f"{c}_mean"] for c in columns}, {c: row[f"{c}_std"] for c in columns}
+    One aggregation gives the moments of the given values; the rows that get
+    the median are then a second group of one value, and the two are combined.
+    """
+    known = profiles(train, columns)
+    medians = fit_medians(train, columns, known)
+    means, deviations = {}, {}
+    for c in columns:
+        given, filled, n = known[c], medians[c], known[c].rows
+        gaps = n - given.values
+        means[c] = mean = (given.values * given.mean + gaps * filled) / n if gaps else given.mean
+        spread = given.deviation**2 + (given.mean - mean) ** 2
+        deviations[c] = sqrt((given.values * spread + gaps * (filled - mean) ** 2) / n) if gaps else given.deviation
+    return medians, means, deviations
 
 
 def fit_preparation(train: DataFrame) -> Preparation:
-    medians = fit_medians(train)
-    means, deviations = fit_scaler(train, medians)
-    return Preparation(medians, means, deviations, fit_categories(train))
+    return Preparation(*fit_numbers(train), fit_categories(train))
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Rows are ordered by md5 of seed and id. Within each stratum the cut keys are
 found from a histogram of hash prefixes, a second one inside the few prefixes
-that hold a cut, and an exact look at the small buckets that remain. Cuts are
+that hold a cut, and an exact look at the small buckets that remain. One
+search answers any number of ranks, so test set and folds share it. Cuts are
 a table with one row per stratum, so any number of strata will do. Assigning a
 row is a join with that table, which Spark broadcasts while it is small: the
 rows themselves are then neither shuffled nor sorted. Rows sharing an id stay
@@ -12,7 +13,7 @@ together.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +39,11 @@ class HashCuts:
     cuts: int
     table: DataFrame
 
+    def between(self, start: int, stop: int) -> HashCuts:
+        """Only the cuts from number `start` up to but not `stop`."""
+        kept = F.slice("cuts", start + 1, stop - start)
+        return replace(self, cuts=stop - start, table=self.table.withColumn("cuts", kept))
+
     def place(self, df: DataFrame, name: str) -> DataFrame:
         """Add how many cuts lie before the row; null in a stratum without cuts."""
         if self.stratum is None:
@@ -55,18 +61,15 @@ class HashCuts:
         return found.select(*df.columns, passed.alias(name))
 
 
-def _holding(counts: DataFrame, wanted: DataFrame, group: list[str], bucket: str) -> DataFrame:
-    """The bucket of each wanted rank, with the rank left inside it."""
-    before = W.partitionBy(*group).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("n").over(before), F.lit(0))
-    inside = (F.col("need") > F.col("below")) & (F.col("need") <= F.col("below") + F.col("n"))
-    return (
-        counts.withColumn("below", below)
-        .join(wanted, group)
-        .filter(inside)
-        .withColumn("need", F.col("need") - F.col("below"))
-        .drop("below", "n")
-    )
+def _place_within(counts: DataFrame, group: list[str], bucket: str) -> DataFrame:
+    """Add how many rows of the group lie before each bucket, and how many the group has."""
+    whole = W.partitionBy(*group)
+    before = whole.orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
+    return counts.withColumns({"below": F.coalesce(F.sum("n").over(before), F.lit(0)), "size": F.sum("n").over(whole)})
+
+
+def _holds(need: Column) -> Column:
+    return (need > F.col("below")) & (need <= F.col("below") + F.col("n"))
 
 
 def find_cuts(
@@ -77,6 +80,7 @@ def find_cuts(
     Two passes over id and label: one counts hash prefixes, the other keeps the
     rows of the prefixes that hold a cut, a 4,096th of the stratum per cut.
     A window sees 4,096 counts or one row in 16 million of a stratum.
+    Three tables are written: prefix counts, the kept rows and the cuts.
     """
     part = F.lit("all") if stratum is None else F.col(stratum)
     keyed = df.select(
@@ -92,43 +96,55 @@ def find_cuts(
     if lost["ids"]:
         raise ValueError(f"'{id_column}' has rows without a value; they cannot be split reproducibly")
 
-    sizes = counts.groupBy("part").agg(F.sum("n").alias("size"))
     needs = ranks(F.col("size"))
-    wanted = sizes.select("part", F.posexplode(F.array(*needs)).alias("cut", "need"))
-    coarse = stored(_holding(counts.drop("nulls"), wanted, ["part"], "coarse"), "coarse")
+    wanted = F.array(*[F.struct(F.lit(i).alias("cut"), need.cast("long").alias("need")) for i, need in enumerate(needs)])
+    coarse = (
+        _place_within(counts.drop("nulls"), ["part"], "coarse")
+        .select("part", "coarse", "below", "n", F.inline(wanted))
+        .filter(_holds(F.col("need")))
+        .select("part", "coarse", "cut", (F.col("need") - F.col("below")).alias("need"))
+    )
     near = stored(
-        keyed.join(coarse.select("part", "coarse").distinct(), ["part", "coarse"], "left_semi")
+        keyed.join(coarse, ["part", "coarse"], "left_semi")
         .groupBy("part", "coarse", "key", "id")
         .agg(F.count("*").alias("n"))
         .withColumn("fine", F.substring("key", PREFIX_DIGITS + 1, PREFIX_DIGITS)),
         "near",
     )
-    fine = _holding(
-        near.groupBy("part", "coarse", "fine").agg(F.sum("n").alias("n")), coarse, ["part", "coarse"], "fine"
+    buckets = near.groupBy("part", "coarse", "fine").agg(F.sum("n").alias("n"))
+    fine = (
+        _place_within(buckets, ["part", "coarse"], "fine")
+        .join(coarse, ["part", "coarse"])
+        .filter(_holds(F.col("need")))
+        .select("part", "coarse", "fine", "cut", (F.col("need") - F.col("below")).alias("need"))
     )
-    bucket = ["part", "coarse", "fine"]
-    by_key = W.partitionBy(*bucket).orderBy("key", "id").rowsBetween(W.unboundedPreceding, 0)
-    reached = F.sum("n").over(by_key)
+    by_key = W.partitionBy("part", "cut").orderBy("key", "id").rowsBetween(W.unboundedPreceding, 0)
     hits = (
-        near.withColumn("cum", reached)
-        .join(fine, bucket)
+        near.join(fine, ["part", "coarse", "fine"])
+        .withColumn("cum", F.sum("n").over(by_key))
         .filter((F.col("cum") >= F.col("need")) & (F.col("cum") - F.col("n") < F.col("need")))
         .select("part", "cut", "key", "id")
     )
-    cuts = (
-        wanted.select("part", "cut")
-        .join(hits, ["part", "cut"], "left")
-        .groupBy("part")
-        .agg(F.array_sort(F.collect_list(F.struct("cut", "key", "id"))).alias("cuts"))
-    )
+    # Strata are listed beside their cuts: a cut before the first row has no key.
+    strata = counts.select("part").distinct()
+    found = [F.max(F.when(F.col("cut") == i, F.struct("key", "id"))) for i in range(len(needs))]
+    cuts = strata.unionByName(hits, allowMissingColumns=True).groupBy("part").agg(F.array(*found).alias("cuts"))
     return HashCuts(id_column, seed, stratum, len(needs), stored(cuts, "cuts"))
 
 
+def _test_rank(size: Column, share: float) -> Column:
+    return F.floor(size * F.lit(share) + 0.5)
+
+
+def _fold_ranks(size: Column, folds: int) -> list[Column]:
+    return [F.floor((size * j + (folds - 1)) / folds) for j in range(1, folds)]
+
+
 def split_cuts(
     df: DataFrame, id_column: str, label: str | None = None, test_share: float = 0.2, seed: int = 42
 ) -> HashCuts:
     """Where the test set ends: `test_share` of every class, or of the table without a label."""
-    return find_cuts(df, id_column, lambda size: [F.floor(size * F.lit(test_share) + 0.5)], label, seed)
+    return find_cuts(df, id_column, lambda size: [_test_rank(size, test_share)], label, seed)
 
 
 def with_split(df: DataFrame, cuts: HashCuts) -> DataFrame:
@@ -143,9 +159,25 @@ def train_test(df: DataFrame, cuts: HashCuts) -> tuple[DataFrame, DataFrame]:
 
 def fold_cuts(df: DataFrame, id_column: str, label: str | None, folds: int = 3, seed: int = 42) -> HashCuts:
     """Where each fold but the last ends; sizes within a class differ by one at most."""
-    return find_cuts(
-        df, id_column, lambda size: [F.floor((size * j + (folds - 1)) / folds) for j in range(1, folds)], label, seed
-    )
+    return find_cuts(df, id_column, lambda size: _fold_ranks(size, folds), label, seed)
+
+
+def split_and_fold_cuts(
+    df: DataFrame, id_column: str, label: str | None, test_share: float = 0.2, folds: int = 3, seed: int = 42
+) -> tuple[HashCuts, HashCuts]:
+    """Where the test set ends and where the folds of the rest end, from one search.
+
+    The same rows as `split_cuts` followed by `fold_cuts` on the training set;
+    an id whose copies lie on both sides of the test cut belongs to the test
+    set, and the first fold then lacks the copies beyond.
+    """
+
+    def ranks(size: Column) -> list[Column]:
+        test = _test_rank(size, test_share)
+        return [test, *[test + rank for rank in _fold_ranks(size - test, folds)]]
+
+    cuts = find_cuts(df, id_column, ranks, label, seed)
+    return cuts.between(0, 1), cuts.between(1, cuts.cuts)
 
 
 def with_folds(df: DataFrame, cuts: HashCuts) -> DataFrame:

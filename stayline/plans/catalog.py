@@ -316,34 +316,29 @@ def val_partial(spark, sf_dir):
 @query
 def val_fail_fast(spark, sf_dir):
     checked = checked_records(spark, sf_dir)
-    before = validation.summary(checked, "fail_fast").select("valid_records").scalar()
-    scored = validation.valid_rows(checked, "fail_fast").agg(F.count("*").alias("n")).scalar()
-    return validation.error_rows(checked, "fail_fast").withColumns({"valid_records": before, "n_results": scored})
+    judged = validation.verdicts(checked)
+    before = validation.summary(judged, "fail_fast").select("valid_records").scalar()
+    scored = validation.valid_rows(checked, "fail_fast", judged).agg(F.count("*").alias("n")).scalar()
+    errors = validation.error_rows(checked, "fail_fast", judged)
+    return errors.withColumns({"valid_records": before, "n_results": scored})
 
 
 @query
 def val_summary(spark, sf_dir):
-    checked = checked_records(spark, sf_dir)
-    return validation.summary(checked, "partial").unionByName(validation.summary(checked, "fail_fast"))
+    judged = validation.verdicts(checked_records(spark, sf_dir))
+    return validation.summaries(judged, {"all": F.lit(True)}).drop("records")
 
 
 @query
 def val_status(spark, sf_dir):
-    checked = checked_records(spark, sf_dir)
     cases = {
-        "all": checked,
-        "good rows": checked.filter(~F.col("bad")),
-        "bad rows": checked.filter(F.col("bad")),
-        "no rows": checked.filter(F.col("row_index") < 0),
+        "all": F.lit(True),
+        "good rows": ~F.col("bad"),
+        "bad rows": F.col("bad"),
+        "no rows": F.col("row_index") < 0,
     }
-    result = None
-    for mode in ("partial", "fail_fast"):
-        for name, rows in cases.items():
-            row = validation.with_status(validation.summary(rows, mode)).select(
-                F.lit(name).alias("records"), "mode", "status"
-            )
-            result = row if result is None else result.unionByName(row)
-    return result
+    found = validation.summaries(validation.verdicts(checked_records(spark, sf_dir)), cases)
+    return validation.with_status(found).select("records", "mode", "status")
 
 
 @query
@@ -411,7 +406,7 @@ def prep_median_impute(spark, sf_dir):
 @query
 def prep_scaler_fit(spark, sf_dir):
     _, train, _ = split_rows(spark, sf_dir)
-    means, deviations = preparation.fit_scaler(train, preparation.fit_medians(train))
+    _, means, deviations = preparation.fit_numbers(train)
     fitted = spark.createDataFrame(
         [(n, means[n], deviations[n]) for n in NUMERIC_FEATURES], "name string, mean double, deviation double"
     )

@@ -156,3 +156,42 @@ def test_split_refuses_rows_without_label(spark):
     lost = spark.createDataFrame([(1, 0), (None, 0)], "id long, y int")
     with pytest.raises(ValueError, match="'id' has rows without a value"):
         splits.split_cuts(lost, "id", "y")
+
+
+def test_one_search_gives_the_split_and_the_folds_of_two(spark):
+    df = spark.range(997).select(F.col("id"), F.when(F.col("id") % 7 == 0, 1).otherwise(0).alias("y"))
+    split, inner = splits.split_and_fold_cuts(df, "id", "y", folds=4)
+    train, test = splits.train_test(df, split)
+    apart = splits.split_cuts(df, "id", "y")
+    old_train, old_test = splits.train_test(df, apart)
+    assert {r["id"] for r in test.collect()} == {r["id"] for r in old_test.collect()}
+    want = splits.with_folds(old_train, splits.fold_cuts(old_train, "id", "y", 4)).collect()
+    assert {(r["id"], r["fold"]) for r in splits.with_folds(train, inner).collect()} == {(r["id"], r["fold"]) for r in want}
+
+
+def test_cuts_are_the_hash_order_of_each_stratum(spark):
+    rows = [(i, f"s{i % 5}") for i in range(400)] + [(1000, "alone"), (1001, "pair"), (1002, "pair")]
+    df = spark.createDataFrame(rows, "id long, s string")
+    marked = {r["id"]: r["split"] for r in splits.with_split(df, splits.split_cuts(df, "id", "s", 0.3)).collect()}
+    for stratum in {s for _, s in rows}:
+        ordered = sorted((hashlib.md5(f"42-{i}".encode()).hexdigest(), i) for i, s in rows if s == stratum)
+        n = int(len(ordered) * 0.3 + 0.5)
+        assert [marked[i] for _, i in ordered] == ["test"] * n + ["train"] * (len(ordered) - n)
+
+
+def test_moments_of_filled_columns(spark):
+    df = spark.range(5000).select(
+        F.when(F.col("id") % 4 != 0, (F.col("id") * 37 % 1009).cast("double")).alias("a"), F.lit(3.0).alias("b")
+    )
+    medians, means, deviations = preparation.fit_numbers(df, ["a", "b"])
+    filled = df.toPandas().fillna(medians)
+    assert medians["a"] == float(df.toPandas()["a"].median())
+    for c in ("a", "b"):
+        assert means[c] == pytest.approx(filled[c].mean()) and deviations[c] == pytest.approx(filled[c].std(ddof=0))
+
+
+def test_median_when_the_bracket_misses(spark):
+    df = spark.range(101).select(F.col("id").cast("double").alias("a"))
+    known = preparation.profiles(df, ["a"])["a"]
+    wrong = {"a": type(known)(known.rows, known.values, known.mean, known.deviation, 80.0, 90.0)}
+    assert exact_medians(df, ["a"], wrong)["a"] == 50.0
