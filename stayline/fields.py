@@ -114,4 +114,9 @@ OTHER_HEADER = "CSV files differ in their header"
 NO_EMAIL_SKIPPED = "Skipping recipient without email"
 NO_RECIPIENTS_LEFT = "No recipients with valid email addresses remain after payload normalization"
 BAD_BATCH_STATUS = "'batch_response.status' is missing or unsupported"
+NO_MAPPING = "'{name}' must be a dictionary when provided"
+WRITER_ERRORS = "Sales manager returned errors"
+NO_ADDRESS = "Selected row is missing a valid 'email'"
+INDEX_OUT_OF_RANGE = "Result index is out of range and row was skipped"
+INDEX_INVALID = "Result index is invalid and row was skipped"
 # --- End of fixed values ------------------------------------------------------

@@ -30,6 +30,14 @@ def number_from_text(text: Column) -> Column:
     return F.when(text.rlike(NUMBER_PATTERN) & (F.abs(number) < F.lit(float("inf"))), number)
 
 
+def whole_number(value: Column, kind: str) -> Column:
+    """A position given as a number (cut to its whole part) or as digits in a text; null for anything else."""
+    if kind != "string":
+        return value.try_cast("long")
+    number = F.translate(value, SKIPPED, "").try_cast("long")
+    return F.when(value.rlike(rf"^{_SPACE}[+-]?{_DIGITS}{_SPACE}$"), number)
+
+
 def zero_if_missing(value: Column) -> Column:
     """Null and NaN become 0; infinity stays."""
     return F.coalesce(F.nanvl(value.cast("double"), F.lit(0.0)), F.lit(0.0))

@@ -10,8 +10,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from stayline.fields import CANDIDATE_OPTION_KEYS, MAX_EMAILS, NO_ACTION, REQUEST_THRESHOLD
-from stayline.functions.numbers import finite, probability_source, unit_probability
+from stayline.fields import (
+    CANDIDATE_OPTION_KEYS,
+    INDEX_INVALID,
+    INDEX_OUT_OF_RANGE,
+    MAX_EMAILS,
+    NO_ACTION,
+    NO_ADDRESS,
+    REQUEST_THRESHOLD,
+)
+from stayline.functions.numbers import finite, probability_source, unit_probability, whole_number
 from stayline.functions.text import normal_email, strip, strip_or_null
 from stayline.operators.ranking import number_rows
 from stayline.operators.validation import outreach_id
@@ -109,14 +117,24 @@ def with_contact(results: DataFrame, records: DataFrame | None, threshold: float
     A missing address or id comes from the source record at the row's position;
     `in_range` tells whether there is one. Results that carry all they need
     (columns email and record_id) are passed without records and not joined.
+
+    Results from elsewhere may bring their own place in the list as `position`:
+    the index is then what they say it is, a number or a text, the position
+    where there is none, and `has_index` tells whether it is a number at all.
     """
     high = above_threshold(results, threshold)
+    if "position" in results.columns:
+        said = whole_number(F.col("index"), dict(results.dtypes)["index"])
+        index = F.when(F.col("index").isNull(), F.col("position")).otherwise(said)
+        high = high.withColumns({"index": index, "has_index": index.isNotNull()})
+    else:
+        high = high.withColumns({"position": F.col("index"), "has_index": F.lit(True)})
     own = normal_email(F.col("email")) if "email" in results.columns else F.lit(None).cast("string")
     given = strip_or_null(F.col("id").cast("string")) if "id" in results.columns else F.lit(None).cast("string")
     if records is None:
         fallback = F.col("record_id") if "record_id" in results.columns else outreach_id(results, "index")
         return high.select(
-            "index", F.coalesce(given, fallback).alias("id"), own.alias("email"), "p_churn", F.lit(True).alias("in_range")
+            "index", F.coalesce(given, fallback).alias("id"), own.alias("email"), "p_churn", F.col("has_index").alias("in_range"), "position", "has_index"
         )
     address = normal_email(F.col("email")) if "email" in records.columns else F.lit(None).cast("string")
     source = records.select(
@@ -128,6 +146,8 @@ def with_contact(results: DataFrame, records: DataFrame | None, threshold: float
         F.coalesce(own, F.col("record_email")).alias("email"),
         "p_churn",
         F.col("record_id").isNotNull().alias("in_range"),
+        "position",
+        "has_index",
     )
 
 
@@ -137,7 +157,7 @@ def recipients(
     """The customers to write to, highest probability first."""
     order = [F.desc("p_churn"), F.col("index"), F.col("id")]
     found = with_contact(results, records, threshold).filter(F.col("in_range") & F.col("email").isNotNull())
-    return top(found.drop("in_range"), max_emails, *order)
+    return top(found.drop("in_range", "position", "has_index"), max_emails, *order)
 
 
 def recipient_errors(results: DataFrame, records: DataFrame | None, threshold: float = REQUEST_THRESHOLD) -> DataFrame:
@@ -145,10 +165,12 @@ def recipient_errors(results: DataFrame, records: DataFrame | None, threshold: f
     contacts = with_contact(results, records, threshold)
     return contacts.filter(~F.col("in_range") | F.col("email").isNull()).select(
         F.lit("targeting").alias("stage"),
-        F.col("index").alias("row_index"),
+        # A row without a record is told by its own place in the list.
+        F.when(F.col("in_range"), F.col("index")).otherwise(F.col("position")).cast("long").alias("row_index"),
         F.when(F.col("in_range"), F.col("id")).alias("id"),
-        F.when(F.col("in_range"), "Selected row is missing a valid 'email'")
-        .otherwise("Result index is out of range and row was skipped")
+        F.when(F.col("in_range"), NO_ADDRESS)
+        .when(F.col("has_index"), INDEX_OUT_OF_RANGE)
+        .otherwise(INDEX_INVALID)
         .alias("message"),
     )
 

@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayline.fields import FEATURES, MIN_ROC_AUC, MODEL_ORDER, NO_ACTION, NUMERIC_FEATURES, OFFER_CALL, REQUEST_THRESHOLD, SEND_EMAIL
+from stayline.fields import FEATURES, MIN_ROC_AUC, MODEL_ORDER, NO_ACTION, NUMERIC_FEATURES, OFFER_CALL, REQUEST_THRESHOLD, SEND_EMAIL, TONES
 from stayline.functions import decisions, numbers, text
 from stayline.operators import metrics, outreach, preparation, reports, scoring, selection, splits, training, validation
 from stayline.plans import jobs
@@ -800,6 +800,19 @@ def sel_recipient_errors(spark, sf_dir):
     return selection.recipient_errors(shifted_results(spark, sf_dir), t.raw_records(spark, sf_dir))
 
 
+@query
+def sel_recipient_errors_positions(spark, sf_dir):
+    """Results with indexes as texts: some out of range, some no numbers, some absent."""
+    results = t.batch_results(spark, sf_dir).drop("email").withColumn("position", F.col("index"))
+    at = F.col("position")
+    said = (
+        F.when(at % 6 == 1, F.format_string("-%d", at))
+        .when(at % 7 == 2, F.format_string("row %d", at))
+        .when(at % 5 != 3, F.format_string(" %d ", at))
+    )
+    return selection.recipient_errors(results.withColumn("index", said), t.raw_records(spark, sf_dir))
+
+
 def top_targets(spark, sf_dir) -> DataFrame:
     return selection.targets(t.batch_results(spark, sf_dir), 0.6, 50)
 
@@ -1086,6 +1099,30 @@ def out_from_batch(spark, sf_dir):
     return report.summary.withColumns({**extra, "n_errors": n_errors})
 
 
+@query
+def out_writer_failure(spark, sf_dir):
+    def away(requests):
+        raise RuntimeError("writer is away")
+
+    settings = {
+        "company_name": COMPANY,
+        "from_name": SENDER,
+        "from_email": ADDRESS,
+        "threshold": 0.6,
+        "max_targets": 30,
+        "recommended_actions": [OFFER_CALL],
+        "require_email": False,
+        "context": "none",
+        "metadata": ["none"],
+    }
+    writers = {**dict.fromkeys(TONES, outreach.echo_writer), TONES[0]: away}
+    report = jobs.outreach_from_batch(t.batch_results(spark, sf_dir), settings, writers=writers)
+    found = report.errors.groupBy("stage", "message").agg(F.count("*").alias("n"))
+    run = {n: report.summary.select(n).scalar() for n in ("status", "selected", "drafted", "sent")}
+    drafts = {f"n_{tone}": report.result.agg(F.count(f"draft_{tone}").alias("n")).scalar() for tone in TONES}
+    return found.withColumns({**run, **drafts})
+
+
 @query
 def out_from_records(spark, sf_dir):
     report = jobs.outreach_from_records(t.raw_records(spark, sf_dir), linear_scorer, record_options())

@@ -703,6 +703,20 @@ where c.p >= 0.35e0 and r.recommended_action = 'Retention email' and r.net_gain
     ),
     "sel_recipients": with_(*RESULT_VIEWS, RAW, reach(False), best_recipients(50), body="select * from recipients"),
     "sel_recipient_errors": with_(*RESULT_VIEWS, RAW, reach(True), body=TARGET_ERRORS),
+    "sel_recipient_errors_positions": with_(
+        *RESULT_VIEWS,
+        RAW,
+        """said as (
+select "index" as place, nullif(trim(id), '') as given_id, p_churn, "index" % 6 = 1 or "index" % 7 <> 2 as has_index,
+ case when "index" % 6 = 1 then -"index" when "index" % 7 <> 2 then "index" end as "index" from results
+where isfinite(p_churn) and p_churn between 0.65e0 and 1)""",
+        body=r"""select 'targeting' as stage, case when s.customer_id is not null then m."index" else place end as row_index,
+ case when s.customer_id is not null then coalesce(given_id, s.customer_id) end as id,
+ case when not has_index then 'Result index is invalid and row was skipped' when s.customer_id is null then 'Result index is out of range and row was skipped'
+ else 'Selected row is missing a valid ''email''' end as message
+from said m left join raw_records s on s.row_index = m."index"
+where s.customer_id is null or not coalesce(regexp_full_match(trim(s.email), '[^@\s]+@[^@\s]+\.[^@\s]+'), false)""",
+    ),
     "sel_targets": with_(*RESULT_VIEWS, TARGETS, body="select * from targets"),
     "sel_targets_no_email": with_(
         *RESULT_VIEWS,
@@ -881,6 +895,22 @@ from contact where p >= 0.6e0 and action = 'Discount or retention call' order by
  concat('Write a retention outreach email from Retention Team at Example Co for ', count(*), ' recipients: ',
    string_agg(id, ', ' order by position), '.') as subject, 'skipped' as send_status, count(*) filter (email is null) as n_errors
 from listed""",
+    ),
+    "out_writer_failure": with_(
+        *RESULT_VIEWS,
+        """targets as (
+select row_number() over (order by p desc, given_id is null, given_id, "index") as rank, id, "index", email
+from contact where p >= 0.6e0 and action = 'Discount or retention call' order by rank limit 30)""",
+        """asked as (select count(*) as n, count(*) filter (email is not null) as reachable, count(*) filter (email is null) as skipped from targets)""",
+        """stated as (
+select 'payload' as stage, 'Skipping recipient without email' as message, skipped as n from asked where skipped > 0
+union all select 'request_build', 'No recipients with valid email addresses remain after payload normalization', 1 from asked where n > 0 and reachable = 0
+union all select 'config', '''context'' must be a dictionary when provided', 1 from asked where reachable > 0
+union all select 'config', '''metadata'' must be a dictionary when provided', 1 from asked where reachable > 0
+union all select 'sales_manager', 'writer is away', 1 from asked where reachable > 0)""",
+        body="""select stage, message, stated.n, case when asked.n > 0 then 'partial' else 'error' end as status, asked.n as selected,
+ 0 as drafted, 0 as sent, 0 as n_serious, least(reachable, 1) as n_witty, least(reachable, 1) as n_concise
+from stated, asked""",
     ),
     "out_from_records": with_(
         *RECORD_VIEWS,

@@ -432,3 +432,44 @@ def test_boosting_settings_share_fits():
     assert [grid[j]["maxIter"] for j in training.staged("Gradient Boosting", grid).values()] == [200] * 4
     assert len(set(training.staged("Gradient Boosting", grid).values())) == 2
     assert training.staged("Random Forest", grid) == {0: 0, 1: 1, 2: 2, 3: 3}
+
+
+def test_a_failing_writer_gives_a_report_and_the_others_go_on(spark):
+    rows = batch(spark, (0, "a", "a@x.org", 0.9), (1, "b", "b@x.org", 0.8))
+
+    def fails_at_once(requests):
+        raise RuntimeError("no writer today\nTraceback of something")
+
+    def fails_in_a_task(requests):
+        return requests.withColumn("draft", F.raise_error(F.lit("out of words")))
+
+    def answers_nothing(requests):
+        return requests.drop("prompt")
+
+    fine = dict.fromkeys(("serious", "witty", "concise"), jobs.outreach.echo_writer)
+    for bad, message in ((fails_at_once, "no writer today"), (fails_in_a_task, "out of words"), (answers_nothing, "draft")):
+        report = jobs.outreach_from_batch(rows, CONFIG, writers={**fine, "witty": bad})
+        errors = report.errors.collect()
+        assert [r["stage"] for r in errors] == ["sales_manager"] and message in errors[0]["message"]
+        result, summary = report.result.first(), report.summary.first()
+        assert (result["status"], result["draft_witty"]) == ("error", None) and result["draft_serious"] and result["draft_concise"]
+        assert (summary["status"], summary["selected"], summary["drafted"]) == ("partial", 2, 0)
+    nobody = jobs.outreach_from_batch(rows.filter("p_churn > 1"), CONFIG, writers={**fine, "witty": fails_at_once})
+    assert nobody.errors.count() == 0 and nobody.result.count() == 0
+
+
+def test_context_and_metadata_of_a_batch(spark):
+    rows = batch(spark, (0, "a", "a@x.org", 0.9))
+    seen = {}
+
+    def writer(requests):
+        seen.update(requests.select("metadata").first()["metadata"])
+        return jobs.outreach.echo_writer(requests)
+
+    given = {"company_name": "Co", "from_name": "Me", "metadata": {"run": 7, "send_mode": "odd"}, "context": ["no"]}
+    report = jobs.outreach_from_batch(rows, given, writers=dict.fromkeys(("serious", "witty", "concise"), writer))
+    assert seen == {"run": "7", "send_mode": "dry_run", "target_ids": '["a"]'}
+    assert [(r["stage"], r["message"]) for r in report.errors.collect()] == [
+        ("config", "'context' must be a dictionary when provided")
+    ]
+    assert report.summary.first()["status"] == "partial" and report.result.first()["status"] == "dry_run"

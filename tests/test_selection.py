@@ -164,3 +164,15 @@ def test_any_number_of_candidates_may_be_asked_for(spark):
     for n, found in ((2_000_000, 300), (120, 120), (50, 50), (0, 0)):
         got = selection.email_candidates(df, selection.CandidateRules(max_candidates=n)).collect()
         assert sorted(r["index"] for r in got) == list(range(found))
+
+
+def test_errors_name_the_row_and_tell_invalid_from_out_of_range(spark):
+    records = spark.createDataFrame([(0, "c0", "a@x.org"), (1, "c1", None), (2, "c2", "b@x.org")], "row_index long, customer_id string, email string")
+    rows = [(0, "2", 0.9), (1, "9", 0.9), (2, "two", 0.9), (3, "-1", 0.9), (4, " 1 ", 0.9), (0, None, 0.9), (6, "x", 0.1), (7, "1.5", 0.9)]
+    results = spark.createDataFrame([(p, i, None, q) for p, i, q in rows], "position long, index string, id string, p_churn double")
+    errors = selection.recipient_errors(results, records, 0.5).collect()
+    out, invalid, address = "Result index is out of range", "Result index is invalid", "Selected row is missing"
+    messages = sorted((r["row_index"], r["message"].split(" and ")[0].split(" a valid")[0]) for r in errors)
+    assert messages == [(1, out), (1, address), (2, invalid), (3, out), (7, invalid)]
+    chosen = selection.recipients(results, records, 0.5, 10).orderBy("index").collect()
+    assert [(r["index"], r["id"]) for r in chosen] == [(0, "c0"), (2, "c2")]
