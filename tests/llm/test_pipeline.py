@@ -41,7 +41,7 @@ def test_stages_on_an_empty_table(spark, sf_dir):
 
 
 def test_every_operator_has_its_query():
-    assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES) == list(range(1, 14))
     assert set(ORACLE) <= set(QUERIES)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["filter_quality", "drop_near_duplicates", "mask_personal_data", "mix_sources", "pack_documents"]
     assert language.PROFILE_SIZE and packing.SEQUENCE_TOKENS == 2048
