@@ -43,6 +43,7 @@ MARK = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 DEPTH = 30  # levels that a path tells apart; deeper elements share the path of that level
 SHARE = 0.1  # of a host's pages that a template token occurs on at least
+TIE = 0.25  # of the text of the largest slot beside it that an article or main element must hold to be taken for the article
 NAMED_CHROME, TAG_CHROME = 1, 2  # an element around is no article text by its class, id or role; by its tag
 
 
@@ -208,42 +209,62 @@ def above(path: str) -> Iterator[str]:
 Token = tuple[int, int, bool, float, bool]  # class, parent, once on every page that has it, article characters a page, other
 
 
-def article_slot(template: dict[str, Token], present: Iterable[str]) -> tuple[str, set[str]]:
-    """Article slot of the layout with these tokens, and the paths of the template that are no article text there.
-
-    A page's layout is the valid tokens that it has; those once on every page
-    that has them are its page-level tokens, by class and by the class around
-    (tokens with equal vectors in different places are different classes).
-    Text lies in the slot of the nearest page-level token. The class whose
-    slots hold most of the varying text is the article's; its deepest container
-    with half of that is the article slot, among article and main elements
-    where the layout has one with text. Inside it, page-level containers
-    whose text is all in containers that repeat (records) and less than half
-    of the article's are lists beside it: comments, cards, teasers.
+def article_slot(template: dict[str, Token], present: Iterable[str]) -> tuple[str | None, set[str]]:
+    """Article slot of the layout with these tokens (None: no varying text), and the paths that are no article text there.
+
+    A page's layout is the valid tokens that it has. A class is page-level if
+    all its tokens are once on every page that has them; its tokens, told apart
+    by the class around them, and the whole page are the slots of the template,
+    and text lies in the slot of the nearest one. The class whose slots hold
+    most of the varying text has the article: its deepest container with half
+    of that text, or a container around that adds text of its own alone, such as
+    a heading. An article or main element only breaks near ties: it is taken if
+    it is a slot with at least a quarter (`TIE`) of the text of any slot beside it. Inside the article
+    slot, page-level containers whose text is all in containers that repeat
+    (records) and less than half of the article's are lists beside it:
+    comments, cards, teasers.
     """
     tokens = {p: template[p] for p in present if p in template}
-    mass, records, by_class, of_class = Counter(), Counter(), Counter(), Counter()
+    level: dict[int, bool] = {}
+    for number, _, once, _, _ in tokens.values():
+        level[number] = level.get(number, True) and once
+    places = {p for p, t in tokens.items() if p == "" or level[t[0]]}
+    mass, direct, records, by_class, of_class = Counter(), Counter(), Counter(), Counter(), Counter()
     for path, (_, _, _, chars, other) in tokens.items():
         if not chars or other:
             continue
-        kind = next(tokens[p][:2] for p in above(path) if p in tokens and tokens[p][2])
+        kind = next(tokens[p][:2] for p in above(path) if p in places)
         by_class[kind] += chars
+        direct[next(p for p in above(path) if p == "" or tag_of(p) in CONTAINERS)] += chars
         record = False
         for up in above(path):
             mass[up] += chars
             of_class[up, kind] += chars
             records[up] += chars if record else 0
-            record |= up in tokens and not tokens[up][2] and tag_of(up) in CONTAINERS
-    slots = [p for p, t in tokens.items() if t[2] and mass[p] > 0 and (p == "" or tag_of(p) in CONTAINERS)]
-    own = [p for p in slots if tag_of(p) in ("article", "main")]
-    most = max((mass[p] for p in own), default=0)
-    fits = [p for p in own if 2 * mass[p] >= most]
-    if not fits and by_class:
-        kind = max(by_class, key=lambda c: (by_class[c], c))
-        fits = [p for p in slots if 2 * of_class[p, kind] >= by_class[kind]]
-    main = max(fits, key=lambda p: (p.count("/"), mass[p], p), default="")
+            record |= up in tokens and up not in places and tag_of(up) in CONTAINERS
+    others = {p for p, t in tokens.items() if t[4]}
+    if not by_class:
+        return None, others
+    slots = [p for p in places if mass[p] > 0 and (p == "" or tag_of(p) in CONTAINERS)]
+    kind = max(by_class, key=lambda c: (by_class[c], c))
+
+    def largest_beside(path: str) -> float:
+        return max((mass[p] for p in slots if not f"{p}/".startswith(f"{path}/") and not f"{path}/".startswith(f"{p}/")), default=0)
+
+    own = [p for p in slots if tag_of(p) in ("article", "main") and mass[p] >= TIE * largest_beside(p)]
+    if own:
+        most = max(mass[p] for p in own)
+        main = max((p for p in own if 2 * mass[p] >= most), key=lambda p: (p.count("/"), mass[p], p))
+    else:
+        main = max((p for p in slots if 2 * of_class[p, kind] >= by_class[kind]), key=lambda p: (p.count("/"), mass[p], p), default="")
+        for up in list(above(main))[1:]:
+            added = mass[up] - mass[main]
+            if tag_of(up) in ("", "html", "body") or up not in places or added > direct[up] + 1e-9 * mass[up]:
+                break
+            if added > 0 and tag_of(up) in CONTAINERS:
+                main = up
     beside = {p for p in slots if p.startswith(main + "/") and records[p] > 0.999 * mass[p] and 2 * mass[p] < mass[main]}
-    return main, {p for p, t in tokens.items() if t[4] or not beside.isdisjoint(above(p))}
+    return main, others | {p for p in tokens if not beside.isdisjoint(above(p))}
 
 
 def template_of(rows: pd.DataFrame) -> pd.DataFrame:
@@ -271,16 +292,20 @@ def template_of(rows: pd.DataFrame) -> pd.DataFrame:
         return next((tag_of(p) for p in above(path) if tag_of(p) in CONTAINERS), "") in ("article", "main")
 
     # A slot that says the same on many pages whose other text differs is the template's own words, and
-    # one whose blocks come again on other pages is a list of what else the host has.
-    again = (rows["texts"] <= 1) | (rows["distinct"] * 2 <= rows["blocks"])
-    constant = ~rows["path"].map(in_article) & (rows["pages"] >= 5) & again & (varied >= 5) & (rows["chars"] > 0)
+    # one whose blocks come again on other pages is a list of what else the host has, unless
+    # such slots hold most of the host's text: then its articles are copies of each other.
+    many = ~rows["path"].map(in_article) & (rows["pages"] >= 5) & (varied >= 5) & (rows["chars"] > 0)
+    own_words = many & (rows["texts"] <= 1)
+    again = many & ~own_words & (rows["distinct"] * 2 <= rows["blocks"])
+    prose = (rows["chars"] - rows["links"]).where(~tagged & ~own_words, 0)
+    constant = own_words | (again & (2 * prose[again].sum() <= prose.sum()))
     link_list = (rows["links"] * 2 > rows["chars"]) & (rows["pages"] >= 2) & ~rows["path"].map(tag_of).isin(["p", "h1", "h2", "h3", "body"])
     rows["other"] = tagged | constant | link_list
     rows["mass"] = np.where(rows["other"], 0, rows["chars"] - rows["links"]) / rows["pages"]
     template = {p: (c, q, o, m, x) for p, c, q, o, m, x in rows[["path", "class", "parent", "once", "mass", "other"]].itertuples(index=False)}
     main, others = article_slot(template, rows.loc[rows["pages"] * 2 >= host_pages, "path"])
     rows["slot"] = ["main" if main in above(p) and p not in others and not template[p][4] else "other" for p in rows["path"]]
-    rows["main"] = main
+    rows["main"] = main or ""
     return rows[["host", "path", "class", "parent", "pages", "total", "slot", "main", "once", "mass", "other"]]
 
 
@@ -319,7 +344,7 @@ def main_text(page: str, template: dict[str, Token] | None, layouts: dict) -> st
         if layout not in layouts:
             layouts[layout] = article_slot(template, layout)
         main, others = layouts[layout]
-        if main:
+        if main is not None:
             picked = [text for path, chrome, text, _ in found if chrome != TAG_CHROME and path not in others and (path == main or path.startswith(main + "/"))]
             if picked:
                 return "\n".join(picked)

@@ -2,6 +2,7 @@ import html
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from stayline.llm import extraction
 
@@ -98,6 +99,53 @@ def test_classes_decide():
     assert slot([0, 0, 1, 1, 2, 2, 3, 3]) == "/body/div.a"
 
 
+def test_flattened_classes_lose_the_article():
+    """Without classes nothing is page-level but the page itself, even beside an article element."""
+    paths = ["", "/body", "/body/article", "/body/article/p", "/body/div.q", "/body/div.q/p"]
+    rows = list(zip(paths, [0, 0, 0, 1, 0, 0], [True, True, True, False, True, True], [0, 0, 0, 90.0, 0, 40.0], strict=True))
+    told = {p: (c, -1, once, n, False) for p, c, once, n in rows}
+    assert extraction.article_slot(told, paths)[0] == "/body/article"
+    assert extraction.article_slot({p: (0, *t[1:]) for p, t in told.items()}, paths)[0] == ""
+
+
+def test_tags_only_break_near_ties():
+    def slot(article, box):
+        paths = ["", "/body", "/body/article", "/body/article/p", "/body/div.q", "/body/div.q/p"]
+        template = {p: (k, -1, True, float(n), False) for p, k, n in zip(paths, [0, 0, 1, 1, 2, 2], [0, 0, 0, article, 0, box], strict=True)}
+        return extraction.article_slot(template, paths)[0]
+
+    assert slot(30, 100) == "/body/article"
+    assert slot(20, 100) == "/body/div.q"
+
+
+def test_headings_around_the_text_belong_to_it():
+    paths = ["", "/body", "/body/div.w", "/body/div.w/div.x", "/body/div.w/div.x/h2", "/body/div.w/div.x/div.y", "/body/div.w/div.x/div.y/p", "/body/div.w/div.z", "/body/div.w/div.z/p"]
+    chars = [0, 0, 0, 0, 5, 0, 100, 0, 30]
+    template = {p: (0, -1, True, float(n), False) for p, n in zip(paths, chars, strict=True)}
+    assert extraction.article_slot(template, paths)[0] == "/body/div.w/div.x"
+
+
+def test_copied_articles_are_no_template(spark):
+    """Few different articles under many titles, beside a teaser that comes again and words that never change."""
+    rows, want = [], {}
+    for i in range(24):
+        text = [f"Title {i}", words(i % 4), words(i % 4 + 50)]
+        body = f'<div class="k7"><h1>{text[0]}</h1><p>{text[1]}</p><p>{text[2]}</p></div><div class="q3">teaser {i % 3} of ours</div><div class="q4">Same words on every page</div>'
+        rows.append((i, f"http://copies.example/{i}", f"<html><body>{body}</body></html>", "x", "x"))
+        want[i] = "\n".join(text)
+    out = extraction.extract(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert {r.page_id: r.text for r in out} == want
+
+
+def test_table_without_telling_names(spark):
+    """Article elements renamed to plain containers, class names scrambled: the template alone finds the text."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    want = {r.page_id: r.text for r in extraction.extract(pages).collect()}
+    renamed = F.regexp_replace(F.regexp_replace(F.regexp_replace("html", "<article>", '<div class="k7">'), "</article>", "</div>"), 'class="ad"', 'class="q3"')
+    out = {r.page_id: r.text for r in extraction.extract(pages.withColumn("html", renamed)).collect()}
+    assert out == want
+
+
 def test_names_inside_the_article_drop_nothing(spark):
     rows, want = [], {}
     for i in range(10):
