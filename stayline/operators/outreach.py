@@ -18,6 +18,9 @@ from stayline.operators.selection import target_metadata
 
 Writer = Callable[[DataFrame], DataFrame]
 
+# Fixed value of the contract.
+EMPTY_DRAFT = "writer returned an empty draft"
+
 # A request is one row; longer lists become several requests, so that no row grows with the list.
 RECIPIENTS_PER_REQUEST = 1_000
 
@@ -125,7 +128,21 @@ def draft_rows(drafted: DataFrame, company: str) -> DataFrame:
 
 def draft_errors(drafted: DataFrame) -> DataFrame:
     return with_body(drafted).filter(F.col("body_text").isNull()).select(
-        F.lit("draft").alias("stage"), "id", "email", F.lit("writer returned an empty draft").alias("message")
+        F.lit("draft").alias("stage"), "id", "email", F.lit(EMPTY_DRAFT).alias("message")
+    )
+
+
+def drafts_and_errors(drafted: DataFrame, company: str) -> DataFrame:
+    """`draft_rows` and `draft_errors` in one table from one pass: a row has either a body or a stage and message."""
+    body = F.col("body_text")
+    return with_body(drafted).select(
+        "id",
+        "email",
+        F.when(body.isNotNull(), F.col("rank")).alias("rank"),
+        F.when(body.isNotNull(), text.subject_line(body, company)).alias("subject"),
+        "body_text",
+        F.when(body.isNull(), F.lit("draft")).alias("stage"),
+        F.when(body.isNull(), F.lit(EMPTY_DRAFT)).alias("message"),
     )
 
 

@@ -1002,9 +1002,7 @@ def out_outbox(spark, sf_dir):
 
 @query
 def out_draft_rows(spark, sf_dir):
-    drafted = drafted_recipients(spark, sf_dir)
-    good = outreach.draft_rows(drafted, COMPANY).select("id", "email", "rank", "subject", "body_text")
-    return good.unionByName(outreach.draft_errors(drafted), allowMissingColumns=True)
+    return outreach.drafts_and_errors(drafted_recipients(spark, sf_dir), COMPANY)
 
 
 @query
