@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import functions as F
 
 from stayline.fields import FEATURES, OFFER_CALL, SEND_EMAIL
@@ -427,6 +428,51 @@ def test_search_agrees_with_plain_refits(small_matrix, name, values):
     assert found.settings == grid[best] and found.cv_roc_auc == pytest.approx(means[best], abs=1e-9)
 
 
+def test_a_forest_of_pieces_scored_in_passes_is_one_forest(small_matrix):
+    settings = {"numTrees": 60, "maxDepth": 6}
+    made = training.pieces("Random Forest", settings, 42)
+    assert [dict(s)["numTrees"] for s, _ in made] == [25, 25, 10] and len({seed for _, seed in made}) == 3
+    assert made[:2] == training.pieces("Random Forest", {**settings, "numTrees": 50}, 42)
+    assert training.pieces("Random Forest", {"numTrees": 20}, 42) == [((("numTrees", 20),), 42)]
+    rows = small_matrix.count()
+    forest = training.joined([training.estimator("Random Forest", dict(s), rows, seed).fit(small_matrix) for s, seed in made])
+    assert forest.getNumTrees == 60 and len({t.toDebugString for t in forest.trees}) > 50
+    path = scratch_path(small_matrix.sparkSession, "forest")
+    forest.save(path)
+    forest = RandomForestClassificationModel.load(path)
+    assert forest.getNumTrees == len(forest.trees) == 60
+    plain = [r[0][1] for r in forest.transform(small_matrix).select("probability").collect()]
+    assert len(training.in_parts(forest, 100)) > 2
+    for most in (100, 10**9):
+        parts = training.side_by_side({"a": forest, "b": forest}, small_matrix, ["label"], most).collect()
+        for name in "ab":
+            assert sorted(r["score"] for r in parts if r["model"] == name) == pytest.approx(sorted(plain), abs=1e-12)
+
+
+def test_fits_of_forests_keep_the_node_of_each_row_and_rows_stay_whole(small_matrix):
+    for name in ("Decision Tree", "Random Forest"):
+        assert training.estimator(name, {"maxDepth": 30}, 10).getCacheNodeIds()
+    laid = training.laid_out(small_matrix, 3)
+    assert laid.rdd.getNumPartitions() == 3
+    columns = ["features", "label", "weight", "fold"]
+    assert sorted(map(str, laid.collect())) == sorted(map(str, small_matrix.select(*columns).collect()))
+    laid.unpersist()
+
+
+def test_forest_search_grows_shared_pieces_once(small_matrix, monkeypatch):
+    fits = []
+    plain = training.estimator
+
+    def counted(name, settings, *rest):
+        fits.append(dict(settings))
+        return plain(name, settings, *rest)
+
+    monkeypatch.setattr(training, "estimator", counted)
+    found = training.grid_search("Random Forest", small_matrix, training.settings_grid({"numTrees": [25, 50], "maxDepth": [3]}))
+    assert len(found.cv_scores) == 2 and found.model.getNumTrees == found.settings["numTrees"]
+    assert len(fits) == 3 * 2 + found.settings["numTrees"] // 25 and {f["numTrees"] for f in fits} == {25}
+
+
 def test_boosting_settings_share_fits():
     grid = training.settings_grid(training.FULL_GRIDS["Gradient Boosting"])
     assert [grid[j]["maxIter"] for j in training.staged("Gradient Boosting", grid).values()] == [200] * 4
