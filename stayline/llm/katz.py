@@ -8,7 +8,6 @@ buckets by the word that follows. Words are known by 64-bit hashes.
 
 from __future__ import annotations
 
-import gc
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stayline.llm import shingles
+from stayline.llm.common import release
 from stayline.llm.shingles import mix, powers
 from stayline.session import scratch_path, stored
 
@@ -511,12 +511,6 @@ def by_kind(df: DataFrame, name: str) -> dict[str, DataFrame]:
     return {kind: kept.where(F.col("kind") == kind) for kind in ("model", "sums", "unseen", "late", "ids", "weights", "more")}
 
 
-def release(df: DataFrame) -> None:
-    """Let Spark delete shuffle files that no table needs any more: it does so when their handles are collected."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def score(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
     """log10 probability of every whole text under a Katz model learnt from the texts that are not held out.
 
