@@ -428,6 +428,23 @@ def test_search_agrees_with_plain_refits(small_matrix, name, values):
     assert found.settings == grid[best] and found.cv_roc_auc == pytest.approx(means[best], abs=1e-9)
 
 
+def test_large_trees_are_fitted_and_scored_in_turn(small_matrix, monkeypatch):
+    grid = training.settings_grid({"maxDepth": [2, 30], "minInstancesPerNode": [1, 2]})
+    sizes = {0: 1000, 1: 1000, 2: 900}
+    work = [(fold, settings) for fold in range(3) for settings in grid]
+    lists = training.batches("Decision Tree", work, sizes, 4000)
+    assert [len(x) for x in lists] == [7, 2, 2, 1] and sorted(map(str, sum(lists, []))) == sorted(map(str, work))
+    assert training.batches("Random Forest", work, sizes, 1) == [work]
+
+    together = training.grid_search("Decision Tree", small_matrix, grid)
+    seen, plain = [], training.side_by_side
+    monkeypatch.setattr(training, "HELD_NODES", 1)
+    monkeypatch.setattr(training, "side_by_side", lambda models, *rest: seen.append(len(models)) or plain(models, *rest))
+    apart = training.grid_search("Decision Tree", small_matrix, grid)
+    assert seen == [1] * 12
+    assert apart.cv_scores == pytest.approx(together.cv_scores, abs=1e-9) and apart.settings == together.settings
+
+
 def test_a_forest_of_pieces_scored_in_passes_is_one_forest(small_matrix):
     settings = {"numTrees": 60, "maxDepth": 6}
     made = training.pieces("Random Forest", settings, 42)
